@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from . import op01_ngram_join as op1
+from . import op03_packing as op3
+from . import op05_sentencepiece as op5
+from . import op10_secret_scans as op10
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1.op1_ngram_join}
+    return {"op1_ngram_join": op1.op1_ngram_join, "op3_packing": op3.op3_packing, "op5_sentencepiece": op5.op5_sentencepiece, "op10_secret_scans": op10.op10_secret_scans}
 
 
 def oracle_sql() -> dict[str, str]:
