@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A side of a join is broadcast only if its written size is proven to be below this many bytes.
 BROADCAST_BYTES = 8 << 20
 #: Rows in an Arrow batch: bounds the memory of a Python worker over texts of any usual length.
@@ -18,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, unless the session has chosen a bound itself."""
+    """Readies a session for Arrow code: ships the package, bounds the rows of a batch unless the session does so itself."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -91,4 +94,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now, was, seen = after, seen, sign(after)
         if was == seen:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

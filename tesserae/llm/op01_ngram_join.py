@@ -1,14 +1,16 @@
-"""N-gram Jaccard join: classes of equal shingle sets, a prefix filter in a global order, and trie searches in blocks.
+"""N-gram Jaccard join: classes of equal shingle sets, routing by signatures of set parts, and trie searches in blocks.
 
 1. Texts become sorted sets of shingle hashes; documents with equal sets form a class, which its smallest doc_id stands for.
-2. The global order puts frequent shingles last. Frequencies come from all documents by lossy counting: a task reports the
-   shingles that it has seen at least ``_SEEN`` times in a chunk. They only order; no result depends on them.
-3. Two sets linked at similarity t share a token among their first n - ceil(t n) + 1 tokens. Tokens of one class drop out.
-4. A token with few classes gives its pairs. One with many gets a pivot, and every other class is compared with the pivot
-   only, which is linear in the group. Jaccard distance is a metric: with t = 1 - r, classes within r of the pivot form one
-   component with it, classes beyond 2 r can have no link to those, and the rim between is compared with those in blocks.
-   What is not within r stays, without the pivot, for the next round. No link between different components is lost.
-5. Comparisons are blocks: a trie holds the index sets of a block, the other sets search it (see trie.py).
+2. Sets that may be linked must meet. The order of shingles by hash is cut into parts, more of them than two linked sets
+   of such sizes can have shingles that only one of them holds; so at least one part that isn't empty is equal in both,
+   and equal digests of a part are a group. (Sizes come in intervals; a set uses the parts of its own interval and of the
+   one below.) Nothing is estimated here: two linked sets always share a group.
+3. Groups that share sets form candidate components. One of up to BLOCK sets is a block: a trie holds its sets, and each
+   set searches it (see trie.py), so a set is shipped once. In a larger one every group gets a pivot, and its other sets
+   are compared with the pivot only, which is linear in the group. Jaccard distance is a metric: with r = 1 - t, sets
+   within r of the pivot form one component with it, sets beyond 2 r can have no link to those, and the rim between
+   searches blocks of those. What is not within r goes on to the next round without the pivot. No link between different
+   components is lost.
 
 Documents: null or empty texts (or such without words) have the empty set and link with nothing. Repeated rows give
 repeated result rows. A null doc_id stays null and is never a component's name. Columns besides doc_id and text are ignored.
@@ -17,6 +19,8 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,81 +29,98 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop, materialize, sized, small_batches, table
-from .shingles import digest, shingle_set
+from .shingles import digest, mix, shingle_set
 from .trie import SetTrie
 
-#: A shingle that a task meets this often in a chunk of _CHUNK tokens counts as frequent there.
-_SEEN, _CHUNK = 4, 1 << 21
-#: The most frequent shingles that the order knows by frequency: bounds what is broadcast to 16 bytes each.
-HOT_SHINGLES = 1 << 17
-#: Token groups of up to this many classes give all their pairs; larger ones go through pivots.
-SMALL_GROUP = 12
-#: Index sets in a block, and searching sets in a share of a block.
-BLOCK, SHARE = 128, 2000
+#: Sets in a block, and searching sets in a share of a block.
+BLOCK, SHARE = 256, 2000
+#: Bits of the filter for groups of two or more sets: bounds what is broadcast to 8 MB. Fuller, it lets more pass, no fewer.
+FILTER_BITS = 26
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def _frequent(k: int):
+@functools.cache
+def _schemes(num: int, den: int, upto: int) -> list[tuple[int, int, int, int]]:
+    """(least size, most size, parts, spare parts) of the size intervals up to a size; 0 parts: only equal sets are linked."""
+    out, low = [], 1
+    while low <= upto:
+        high = low * den // num
+        other = min((high + 1) * den // num, high * den // num)
+        apart = (den - num) * (high + other) // (num + den)
+        spare = 1 + apart // 12
+        out.append((low, high, apart + 1 + spare if apart else 0, spare))
+        low = high + 1
+    return out
+
+
+def signatures(items: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Digests of the parts of a set. Empty parts count only beyond the spare ones, which two linked sets can do without."""
+    n = len(items)
+    if not n:
+        return items
+    schemes = _schemes(num, den, 1 << max(10, n.bit_length()))
+    own = bisect_left(schemes, n, key=lambda s: s[1])
+    mixed, out = mix(items + np.uint64(0x51ED270B)), []
+    for i in (own - 1, own):
+        if i < 0 or not schemes[i][2]:
+            continue
+        low, _, parts, spare = schemes[i]
+        part = (items % np.uint64(parts)).astype(np.int64)
+        total = np.zeros(parts, np.uint64)
+        np.add.at(total, part, mixed)
+        held = np.bincount(part, minlength=parts)
+        at = np.flatnonzero(held) if parts - np.count_nonzero(held) <= spare else np.arange(parts)
+        out.append(mix(total[at] ^ mix(at.astype(np.uint64) + np.uint64(low << 32))))
+    return np.concatenate(out) if out else items[:0]
+
+
+def _signed(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
-            often = counts >= _SEEN
-            return pa.record_batch([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
-
-        for batch in batches:
-            for text in _texts(batch):
-                held.append(shingle_set(text, k))
-                n += len(held[-1])
-                if n >= _CHUNK:
-                    yield flush()
-                    held, n = [], 0
-        yield flush()
-
-    return run
-
-
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """The hashes of the most frequent shingles, most frequent first; HOT_SHINGLES at most."""
-    top = docs.select("text").mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT_SHINGLES)
-    return np.array(top.select("token").toArrow().column(0).to_numpy(), np.int64).view(np.uint64)
-
-
-def _prefixes(k: int, num: int, den: int, hot):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked = hot.value
-        order = np.argsort(ranked)
-        keys, rank = ranked[order], order
         for batch in batches:
             sizes, one, two, heads = [], [], [], []
             for text in _texts(batch):
                 items = shingle_set(text, k)
-                n = len(items)
                 a, b = digest(items)
-                m = n - -(-num * n // den) + 1 if n else 0
-                if n and len(keys):
-                    at = keys.searchsorted(items)
-                    at[at == len(keys)] = 0
-                    often = keys[at] == items
-                    cold = items[~often]
-                    if m > len(cold):  # frequent ones only at the end, the least frequent of them first
-                        warm = at[often]
-                        cold = np.concatenate([cold, items[often][np.argsort(-rank[warm], kind="stable")]])
-                    items = cold
-                sizes.append(n)
+                sizes.append(len(items))
                 one.append(a)
                 two.append(b)
-                heads.append(items[:m].view(np.int64))
+                heads.append(signatures(items, num, den).view(np.int64))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))], ["doc_id", "n", "h1", "h2", "head"])
 
     return run
 
 
+def _shared(bits):
+    """(token, id, n) of the signatures that the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
+        for batch in batches:
+            head = batch.column(2)
+            tokens, rows = head.flatten().to_numpy(), head.value_parent_indices().to_numpy()
+            at = tokens & ((1 << FILTER_BITS) - 1)
+            kept = np.flatnonzero(words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            rows = pa.array(rows[kept])
+            yield pa.record_batch([pa.array(tokens[kept]), batch.column(0).take(rows), batch.column(1).take(rows)], ["token", "id", "n"])
+
+    return run
+
+
+def _groups(heads: DataFrame) -> DataFrame:
+    """(token, id, n) of the signatures that two or more sets share. heads: (id, n, head), a row for each set."""
+    spark = heads.sparkSession
+    many = materialize(heads.select(F.explode("head").alias("token"), "id").groupBy("token").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("token"))
+    slot = F.col("token").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = many.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast((token & 63) as int))")).alias("bits")).toArrow()  # at most 2**FILTER_BITS / 64 rows
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return heads.mapInArrow(_shared(spark.sparkContext.broadcast(bits)), "token long, id long, n long").join(many, "token", "left_semi")
+
+
 def _blocks(k: int, num: int, den: int, first: bool):
     """Rows sorted by block, index rows (kind 0) before searching ones: (searcher, found, overlap, sizes)."""
 
@@ -136,59 +157,55 @@ def trie_join(docs: DataFrame, index: DataFrame, probe: DataFrame, k: int, num:
     return dealt.mapInArrow(_blocks(k, num, den, first), "a long, b long, overlap long, na long, nb long")
 
 
-def _links(docs: DataFrame, posts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all classes which chains of similar ones connect. posts: (token, id, n)."""
+def _links(docs: DataFrame, posts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Links (a, b) that connect all sets which chains of similar ones connect. posts: (token, id, n), see _groups()."""
     links: DataFrame | None = None
-    rim = max(0, 2 * num - den)  # the similarity at twice the distance
+    rim = max(1, 2 * num - den)  # the similarity at twice the distance
 
     def add(new: DataFrame) -> None:
         nonlocal links
+        new = materialize(new)
         links = new if links is None else links.unionByName(new)
 
-    def groups(df: DataFrame) -> DataFrame:
-        many = df.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("pivot")).where("size > 1")
-        return materialize(df.join(many, "token").select("token", "id", "n", "size", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")))
+    def pivoted(df: DataFrame) -> DataFrame:
+        many = df.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("q")).where("p.id < q")
+        return materialize(df.join(many, "token").select("token", "id", "n", F.col("p.id").alias("p"), F.col("p.n").alias("pn")))
 
-    active = groups(posts)
+    active = pivoted(posts)
     while True:
-        few = active.where(F.col("size") <= SMALL_GROUP)
-        lists = few.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("g"))  # SMALL_GROUP at most
-        pairs = lists.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.transform(F.slice("g", F.lit(1), i), lambda x: F.struct(x.alias("x"), F.element_at("g", i + 1).alias("y"))))))).select("col.*")
-        near = pairs.where(F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num).select(F.col("x.id").alias("block"), F.col("y.id").alias("id")).distinct()
-        near = materialize(near)
-        add(materialize(trie_join(docs, near.select("block", F.col("block").alias("id")).distinct(), near, k, num, den).select("a", "b")))
-        large = materialize(active.where(F.col("size") > SMALL_GROUP))
-        drop(active, near)
+        parts = materialize(connected_components(active.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b"))))
+        sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+        small = parts.join(sizes.where(F.col("size") <= BLOCK), "component").select(F.col("component").alias("block"), F.col("node").alias("id"))
+        add(trie_join(docs, small, small, k, num, den).where("a > b").select("a", "b"))
+        large = materialize(active.join(parts.join(sizes.where(F.col("size") > BLOCK), "component").select(F.col("node").alias("id")), "id", "left_semi"))
+        drop(active, parts)
         if large.isEmpty():
             drop(large)
             return links
-        pairs = large.where(F.col("id") != F.col("p")).where(F.least("n", "pn") * den >= F.greatest("n", "pn") * rim).select(F.col("p").alias("block"), "id").distinct()
-        pairs = materialize(pairs)
+        pairs = materialize(large.where("id <> p").where(F.least("n", "pn") * den >= F.greatest("n", "pn") * rim).select(F.col("p").alias("block"), "id").distinct())
         found = materialize(trie_join(docs, pairs.select("block", F.col("block").alias("id")).distinct(), pairs, k, rim, den).withColumn("near", F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num))
         joined = found.where("near")
         add(joined.select("a", "b"))
         if not found.where("not near").isEmpty():
-            # the rim of a pivot searches blocks of the classes joined to it that are not too near the pivot for a link
+            # the rim of a pivot searches blocks of the sets joined to it
             rims = found.where("not near").select(F.col("b").alias("p"), F.col("a").alias("id"))
             sizes = joined.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("b", "p")
             index = joined.withColumnRenamed("b", "p").join(sizes, "p").select(F.xxhash64("p", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"), F.col("a").alias("id"))
             probe = rims.join(sizes, "p").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "p", "id").select(F.xxhash64("p", "i").alias("block"), "id")
-            add(materialize(trie_join(docs, index, probe, k, num, den, first=True).select("a", "b")))
-        rest = large.where(F.col("id") != F.col("p")).join(joined.select(F.col("a").alias("id"), F.col("b").alias("p")), ["id", "p"], "left_anti")
-        active = groups(rest.select("token", "id", "n"))
+            add(trie_join(docs, index, probe, k, num, den, first=True).select("a", "b"))
+        rest = large.where("id <> p").join(joined.select(F.col("a").alias("id"), F.col("b").alias("p")), ["id", "p"], "left_anti")
+        active = pivoted(rest.select("token", "id", "n"))
         drop(large, pairs)
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; linked at Jaccard num/den or more of k-word shingle sets."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    sets = materialize(docs.mapInArrow(_prefixes(k, num, den, hot), "doc_id long, n long, h1 long, h2 long, head array<long>"))
-    classes = materialize(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")))
-    posts = sets.withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]).select(F.explode("head").alias("token"), "id", "n")
-    labels = connected_components(_links(docs, posts, k, num, den))
+    sets = materialize(docs.mapInArrow(_signed(k, num, den), "doc_id long, n long, h1 long, h2 long, head array<long>"))
+    classes = materialize(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    heads = sets.where(F.size("head") > 0).withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "head")
+    labels = connected_components(_links(docs, _groups(heads), k, num, den))
     named = materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")))
     return sets.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
