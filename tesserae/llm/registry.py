@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from . import op01_ngram_join as op1
+from . import op02_language_id as op2
 from . import op03_packing as op3
+from . import op04_nearest as op4
 from . import op05_sentencepiece as op5
+from . import op09_quality as op9
 from . import op10_secret_scans as op10
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1.op1_ngram_join, "op3_packing": op3.op3_packing, "op5_sentencepiece": op5.op5_sentencepiece, "op10_secret_scans": op10.op10_secret_scans}
+    return {
+        "op1_ngram_join": op1.op1_ngram_join,
+        "op2_language_id": op2.op2_language_id,
+        "op3_packing": op3.op3_packing,
+        "op4_nearest": op4.op4_nearest,
+        "op5_sentencepiece": op5.op5_sentencepiece,
+        "op9_quality": op9.op9_quality,
+        "op10_secret_scans": op10.op10_secret_scans,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
