@@ -5,12 +5,13 @@
    of such sizes can have shingles that only one of them holds; so at least one part that isn't empty is equal in both,
    and equal digests of a part are a group. (Sizes come in intervals; a set uses the parts of its own interval and of the
    one below.) Nothing is estimated here: two linked sets always share a group.
-3. Groups that share sets form candidate components. One of up to BLOCK sets is a block: a trie holds its sets, and each
-   set searches it (see trie.py), so a set is shipped once. In a larger one every group gets a pivot, and its other sets
-   are compared with the pivot only, which is linear in the group. Jaccard distance is a metric: with r = 1 - t, sets
-   within r of the pivot form one component with it, sets beyond 2 r can have no link to those, and the rim between
-   searches blocks of those. What is not within r goes on to the next round without the pivot. No link between different
-   components is lost.
+3. Groups that share sets form candidate components. The sets of one are cut into blocks of up to BLOCK sets. A block
+   keeps a trie for each component that its own sets form (see trie.py); a set from an earlier block searches these and
+   reports one link to each, which keeps every connection. A set visits at most BLOCKS blocks, most often only its own.
+   In a component of more sets, every group first gets a pivot, and its other sets are compared with the pivot only,
+   which is linear in the group. Jaccard distance is a metric: with r = 1 - t, sets within r of the pivot form one
+   component with it, sets beyond 2 r can have no link to those, and the rim between searches blocks of those. What is
+   not within r goes on to the next round without the pivot. No link between different components is lost.
 
 Documents: null or empty texts (or such without words) have the empty set and link with nothing. Repeated rows give
 repeated result rows. A null doc_id stays null and is never a component's name. Columns besides doc_id and text are ignored.
@@ -32,8 +33,8 @@ from .common import connected_components, drop, materialize, sized, small_batche
 from .shingles import digest, mix, shingle_set
 from .trie import SetTrie
 
-#: Sets in a block, and searching sets in a share of a block.
-BLOCK, SHARE = 256, 2000
+#: Sets in a block, blocks that a set may visit, and searching sets in a share of a block.
+BLOCK, BLOCKS, SHARE = 256, 32, 2000
 #: Bits of the filter for groups of two or more sets: bounds what is broadcast to 8 MB. Fuller, it lets more pass, no fewer.
 FILTER_BITS = 26
 
@@ -121,40 +122,74 @@ def _groups(heads: DataFrame) -> DataFrame:
     return heads.mapInArrow(_shared(spark.sparkContext.broadcast(bits)), "token long, id long, n long").join(many, "token", "left_semi")
 
 
-def _blocks(k: int, num: int, den: int, first: bool):
+class _Families:
+    """The components that the sets of a block form, each with the tries of its sets."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.tries = num, den, []
+
+    def links(self, items: np.ndarray) -> list[tuple[int, object]]:
+        """(number of the family, one of its sets that is similar enough)."""
+        out = []
+        for f, tries in enumerate(self.tries):
+            for trie in tries:
+                if found := trie.search(items, first=True):
+                    out.append((f, found[0][0]))
+                    break
+        return out
+
+    def add(self, key, items: np.ndarray) -> list:
+        """Adds a set; its links to the families so far, which it joins into one."""
+        found = self.links(items)
+        if not found:
+            self.tries.append([SetTrie(self.num, self.den)])
+            home = self.tries[-1]
+        else:
+            joined = {f for f, _ in found}
+            home = max((self.tries[f] for f in joined), key=lambda t: max(len(x.size) for x in t))
+            home += [t for f in joined if self.tries[f] is not home for t in self.tries[f]]
+            self.tries = [t for f, t in enumerate(self.tries) if f not in joined or t is home]
+        home[0].add(key, items)
+        return [other for _, other in found]
+
+
+def _blocks(k: int, num: int, den: int, spanning: bool):
     """Rows sorted by block, index rows (kind 0) before searching ones: (searcher, found, overlap, sizes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, trie = None, None
+        now, held = None, None
         for batch in batches:
             out: list[tuple] = []
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for b, salt, kind, key, text in zip(*cols, _texts(batch), strict=True):
                 if (b, salt) != now:
-                    now, trie = (b, salt), SetTrie(num, den)
+                    now, held = (b, salt), _Families(num, den) if spanning else SetTrie(num, den)
                 items = shingle_set(text, k)
-                if kind == 0:
-                    trie.add(key, items)
+                if spanning:
+                    out += [(key, other, 0, 0, 0) for other in (held.add(key, items) if kind == 0 else [x for _, x in held.links(items)]) if other != key]
+                elif kind == 0:
+                    held.add(key, items)
                 else:
-                    out += [(key, other, overlap, len(items), trie.size[other]) for other, overlap in trie.search(items, first) if other != key]
+                    out += [(key, other, overlap, len(items), held.size[other]) for other, overlap in held.search(items) if other != key]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["a", "b", "overlap", "na", "nb"])
 
     return run
 
 
-def trie_join(docs: DataFrame, index: DataFrame, probe: DataFrame, k: int, num: int, den: int, first: bool = False) -> DataFrame:
+def trie_join(docs: DataFrame, index: DataFrame, probe: DataFrame, k: int, num: int, den: int, spanning: bool = False) -> DataFrame:
     """(a, b, overlap, na, nb) with a in probe, b in index, of one block, Jaccard of num/den or more.
 
     index and probe: (block, id). A block with many searching ids is split into shares, each with the whole index of the
-    block; callers keep that index small (BLOCK). first: one b for each a and share is enough.
+    block; callers keep that index small (BLOCK). spanning: links among the index too, and for each a one b of each
+    component that the block's index forms; sizes are then 0.
     """
     shares = probe.groupBy("block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    left = index.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("kind"), "id")
+    left = index.join(shares, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"), "id")
     right = probe.join(shares, "block").select("block", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id")
     rows = materialize(left.unionByName(right))
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(rows), "id")
     dealt = texts.select("block", "salt", "kind", "id", "text").repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "id")
-    return dealt.mapInArrow(_blocks(k, num, den, first), "a long, b long, overlap long, na long, nb long")
+    return dealt.mapInArrow(_blocks(k, num, den, spanning), "a long, b long, overlap long, na long, nb long")
 
 
 def _links(docs: DataFrame, posts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
@@ -175,9 +210,13 @@ def _links(docs: DataFrame, posts: DataFrame, k: int, num: int, den: int) -> Dat
     while True:
         parts = materialize(connected_components(active.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b"))))
         sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-        small = parts.join(sizes.where(F.col("size") <= BLOCK), "component").select(F.col("component").alias("block"), F.col("node").alias("id"))
-        add(trie_join(docs, small, small, k, num, den).where("a > b").select("a", "b"))
-        large = materialize(active.join(parts.join(sizes.where(F.col("size") > BLOCK), "component").select(F.col("node").alias("id")), "id", "left_semi"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        whole = parts.join(sizes.where(F.col("size") <= BLOCK * BLOCKS), "component").select("component", F.col("node").alias("id"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+        name = lambda i: F.xxhash64("component", i).alias("block")
+        index = whole.select(name(F.col("own")), "id")
+        probe = whole.where("own > 0").select("component", "id", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i")).select(name(F.col("i")), "id")
+        add(trie_join(docs, index, probe, k, num, den, spanning=True).select("a", "b"))
+        large = materialize(active.join(parts.join(sizes.where(F.col("size") > BLOCK * BLOCKS), "component").select(F.col("node").alias("id")), "id", "left_semi"))
         drop(active, parts)
         if large.isEmpty():
             drop(large)
@@ -192,7 +231,7 @@ def _links(docs: DataFrame, posts: DataFrame, k: int, num: int, den: int) -> Dat
             sizes = joined.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("b", "p")
             index = joined.withColumnRenamed("b", "p").join(sizes, "p").select(F.xxhash64("p", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"), F.col("a").alias("id"))
             probe = rims.join(sizes, "p").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "p", "id").select(F.xxhash64("p", "i").alias("block"), "id")
-            add(trie_join(docs, index, probe, k, num, den, first=True).select("a", "b"))
+            add(trie_join(docs, index, probe, k, num, den, spanning=True).select("a", "b"))
         rest = large.where("id <> p").join(joined.select(F.col("a").alias("id"), F.col("b").alias("p")), ["id", "p"], "left_anti")
         active = pivoted(rest.select("token", "id", "n"))
         drop(large, pairs)
