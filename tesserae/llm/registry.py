@@ -7,6 +7,7 @@ from . import op02_language_id as op2
 from . import op03_packing as op3
 from . import op04_nearest as op4
 from . import op05_sentencepiece as op5
+from . import op06_pii as op6
 from . import op09_quality as op9
 from . import op10_secret_scans as op10
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_packing": op3.op3_packing,
         "op4_nearest": op4.op4_nearest,
         "op5_sentencepiece": op5.op5_sentencepiece,
+        "op6_pii": op6.op6_pii,
         "op9_quality": op9.op9_quality,
         "op10_secret_scans": op10.op10_secret_scans,
     }
