@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..shipping import ship
 
@@ -68,6 +69,17 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES else df
 
 
+def global_rank(df: DataFrame, by: list[str]) -> DataFrame:
+    """df with `rank`, the place of each row from 0 in the order of the columns: its place in a range partition, plus the
+    rows of the partitions before it. Ties fall either way. No task holds more than a range partition.
+    """
+    at = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    before = W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    parts = at.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition
+    ahead = materialize(parts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_first", "_ahead"))
+    return at.join(sized(ahead), "_part").withColumn("rank", F.col("_at") - F.col("_first") + F.col("_ahead")).drop("_at", "_part", "_first", "_ahead")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable, for every node with an edge. Alternating large and small stars.
 

@@ -8,6 +8,8 @@ from . import op03_packing as op3
 from . import op04_nearest as op4
 from . import op05_sentencepiece as op5
 from . import op06_pii as op6
+from . import op07_quotations as op7
+from . import op08_line_dedup as op8
 from . import op09_quality as op9
 from . import op10_secret_scans as op10
 
@@ -20,10 +22,12 @@ def queries() -> dict:
         "op4_nearest": op4.op4_nearest,
         "op5_sentencepiece": op5.op5_sentencepiece,
         "op6_pii": op6.op6_pii,
+        "op7_quotations": op7.op7_quotations,
+        "op8_line_dedup": op8.op8_line_dedup,
         "op9_quality": op9.op9_quality,
         "op10_secret_scans": op10.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": op1.SQL}
+    return {"op1_ngram_join": op1.SQL, "op8_line_dedup": op8.SQL}
