@@ -181,8 +181,8 @@ class Index:
             code = part[at].astype(np.int32) << 16 | part[at + 1].astype(np.int32) << 8 | part[at + 2]
             order = np.argsort(code, kind="stable")
             code, at = code[order], at[order] + s
-            edges = np.flatnonzero(np.diff(code, prepend=-1))
-            for lo, hi in zip(edges, [*edges[1:], len(code)], strict=True):
+            edges = [*np.flatnonzero(np.diff(code, prepend=-1)), len(code)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
                 if g := self.codes.get(int(code[lo])):
                     where = at[lo:hi]
                     doc = np.searchsorted(offsets, where, "right") - 1
@@ -264,7 +264,7 @@ def _redacted(rules: tuple[Rule, ...], at: int):
                 for start, k, end, value in spans:
                     if end <= done:
                         continue
-                    out += [texts[i][done : max(done, value)], f"[SECRET:{rules[k].kind}]"] if value >= done else []
+                    out += [texts[i][done : max(done, value)], f"[REDACTED {rules[k].kind}]"] if value >= done else []
                     done = end
                 if spans:
                     texts[i] = "".join(out) + texts[i][done:]
