@@ -41,8 +41,9 @@ CAPACITY = 2048
 MEMO, WORD = 600_000, 48
 #: Pieces in a salted group within which ranks are taken.
 GROUP = 20_000
-#: Steps of the local search at most, for each kind of sequence that is not full.
-ROUNDS = 64
+#: Pairs of kinds that the local search tries at most. It bounds the driver's time, whatever the number of documents; what is
+#: not improved by then stays as best fit left it.
+EFFORT = 200_000
 
 
 class _Words(dict):
@@ -132,64 +133,70 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[list]:
     return kinds
 
 
-def local_search(kinds: list[list], capacity: int, rounds: int = ROUNDS) -> list[list]:
-    """Swaps and moves between kinds that are not full, as long as the squared fill grows."""
-    done = [k for k in kinds if sum(k[0]) == capacity]
-    todo = sorted((k for k in kinds if sum(k[0]) < capacity), key=lambda k: -sum(k[0]))
-    for _ in range(rounds * max(1, len(todo))):
-        todo = [[tuple(sorted(k, reverse=True)), m] for k, m in _merged(todo).items() if m and k]
-        todo.sort(key=lambda k: -sum(k[0]))
-        step = _step(todo, capacity)
+def local_search(kinds: list[list], capacity: int, effort: int = EFFORT) -> list[list]:
+    """Swaps and moves between kinds that are not full, as long as the squared fill grows; `effort` pairs are tried at most."""
+    full: Counter = Counter()
+    todo: Counter = Counter()
+    for k, m in kinds:
+        (full if sum(k) == capacity else todo)[tuple(sorted(k, reverse=True))] += m
+    offers: dict[tuple, tuple] = {}
+    while effort > 0:
+        order = sorted(todo, key=lambda k: (-sum(k), k))
+        step, effort = _step(order, todo, capacity, offers, effort)
         if not step:
             break
-        i, j, a, b = step
-        times = min(todo[i][1], todo[j][1]) if i != j else todo[i][1] // 2
-        todo[i][1] -= times
-        todo[j][1] -= times
-        todo += [[a, times], [b, times]]
-        done += [k for k in todo if sum(k[0]) == capacity and k[1]]
-        todo = [k for k in todo if sum(k[0]) < capacity and k[1] and k[0]]
-    return [[list(k), m] for k, m in _merged([*done, *todo]).items() if m and k]
-
-
-def _merged(kinds) -> Counter:
-    out: Counter = Counter()
-    for k, m in kinds:
-        out[tuple(sorted(k, reverse=True))] += m
-    return out
-
-
-def _step(kinds: list[list], capacity: int):
-    """The first change (kind, kind, new, new) that raises the squared fill: the fuller kind i takes, kind j gives."""
-    for i, (take, m) in enumerate(kinds):
+        take, give, new = step
+        times = min(todo[take], todo[give]) if take != give else todo[take] // 2
+        for k, m in ((take, -times), (give, -times), (new[0], times), (new[1], times)):
+            if k:
+                at = full if sum(k) == capacity else todo
+                at[k] += m
+                if not at[k]:
+                    del at[k]
+    return [[list(k), m] for k, m in [*full.items(), *todo.items()]]
+
+
+def _offers(kind: tuple) -> tuple[np.ndarray, list[tuple], np.ndarray]:
+    """What a kind can give in an exchange: sums of none, one or two of its lengths, which they are, and single lengths."""
+    out = {0: ()} | {x: (x,) for x in kind}
+    if len(kind) <= 64:
+        for i, x in enumerate(kind):
+            for y in kind[i + 1 :]:
+                out.setdefault(x + y, (x, y))
+    sums = sorted(out)
+    return np.array(sums), [out[x] for x in sums], np.array(sorted(set(kind)))
+
+
+def _step(order: list[tuple], todo: Counter, capacity: int, offers: dict, effort: int):
+    """The first change (kind, kind, new kinds) that raises the squared fill: the fuller kind takes a longer length from
+    the other for none, one or two of its own, as far as its room allows. Fullest takers and emptiest givers first."""
+
+    def known(kind: tuple) -> tuple:
+        if kind not in offers:
+            offers[kind] = _offers(kind)
+        return offers[kind]
+
+    for take in order:
         room = capacity - sum(take)
-        for j in range(len(kinds) - 1, -1, -1):
-            give = kinds[j][0]
-            if sum(give) > sum(take) or (i == j and m < 2):
+        sums, parts, _ = known(take)
+        for give in reversed(order):
+            if sum(give) > sum(take) or (give == take and todo[take] < 2):
                 continue
-            best = max((x for x in give if x <= room), default=0)  # move
-            gain, change = best, ((), (best,))
-            items = sorted(set(give))
-            for out in sorted(set(take)):  # one for one
-                at = bisect_right(items, out + room) - 1
-                if at >= 0 and items[at] - out > gain:
-                    gain, change = items[at] - out, ((out,), (items[at],))
-            for x in range(len(take)) if len(take) <= 64 else ():  # two for one
-                for y in range(x + 1, len(take)):
-                    out = take[x] + take[y]
-                    at = bisect_right(items, out + room) - 1
-                    if at >= 0 and items[at] - out > gain:
-                        gain, change = items[at] - out, ((take[x], take[y]), (items[at],))
-            if gain > 0:
+            effort -= 1
+            items = known(give)[2]
+            at = items.searchsorted(sums + room, "right") - 1
+            gains = np.where(at >= 0, items[at], 0) - sums
+            best = int(gains.argmax())
+            if gains[best] > 0:
                 a, b = Counter(take), Counter(give)
-                for n in change[0]:
-                    a[n] -= 1
-                    b[n] += 1
-                for n in change[1]:
-                    a[n] += 1
-                    b[n] -= 1
-                return i, j, tuple(a.elements()), tuple(b.elements())
-    return None
+                a.subtract(parts[best])
+                b.update(parts[best])
+                a[int(items[at[best]])] += 1
+                b[int(items[at[best]])] -= 1
+                return (take, give, tuple(tuple(sorted(c.elements(), reverse=True)) for c in (a, b))), effort
+            if effort <= 0:
+                return None, 0
+    return None, effort
 
 
 def slots(kinds: list[list]) -> dict[int, list[tuple[int, int, int]]]:
