@@ -64,6 +64,14 @@ def drop(*frames: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that df has not (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized(df: DataFrame) -> DataFrame:
     """A written frame as the small side of a join: with a broadcast hint if its measured size allows, else as it is."""
     return F.broadcast(df) if written_bytes(df) <= BROADCAST_BYTES else df

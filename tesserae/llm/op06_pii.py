@@ -14,7 +14,7 @@ What fails validation (a long number that is no card, 300.1.1.1, 31.02.2020) sta
 returns a value itself unless the digest says so by chance, once in the size of its format.
 
 Null texts stay null, empty ones empty; their counts are 0. Repeated rows give repeated rows. Columns besides doc_id and
-text are ignored by the query and kept by pseudonymize(), also if their names begin like the working columns'.
+text are ignored by the query and kept by pseudonymize(), whatever their names; only a column `pii` is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 ROUNDS = 8
 #: The key of the query; a job passes its own.
@@ -134,11 +134,12 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text, and pii: an array of (kind, value, pseudonym) in order of place."""
     found = F.coalesce(F.regexp_extract_all("text", F.lit(f"({PATTERN.replace(chr(92) + '1', chr(92) + '2')})"), F.lit(1)), F.array().cast("array<string>"))
-    named = docs.withColumn("_pii_m", found).withColumn("_pii_k", F.transform("_pii_m", lambda m: F.struct(m.alias("value"), _kind(m).alias("kind"))))
-    done = named.withColumn("_pii_p", F.transform("_pii_k", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
+    m, k, p = (free_name(docs, x) for x in ("_matches", "_kinds", "_pseudonyms"))
+    named = docs.withColumn(m, found).withColumn(k, F.transform(m, lambda x: F.struct(x.alias("value"), _kind(x).alias("kind"))))
+    done = named.withColumn(p, F.transform(k, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"))))
     gaps = F.split("text", PATTERN, -1)
-    text = F.when(F.size("_pii_m") == 0, F.col("text")).otherwise(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_pii_p", i)["pseudonym"], F.lit("")))), ""))
-    return done.withColumn("text", text).withColumn("pii", F.filter("_pii_p", lambda x: x["kind"].isNotNull())).drop("_pii_m", "_pii_k", "_pii_p")
+    text = F.when(F.size(m) == 0, F.col("text")).otherwise(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(p, i)["pseudonym"], F.lit("")))), ""))
+    return done.withColumn("text", text).withColumn("pii", F.filter(p, lambda x: x["kind"].isNotNull())).drop(m, k, p)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

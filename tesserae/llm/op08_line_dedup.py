@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, small_batches, table
+from .common import free_name, materialize, sized, small_batches, table
 
 WIDTH = 3
 _BLANK = " \t\n\x0b\x0c\r"
@@ -81,8 +81,9 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, counts: bool = False) -> Da
     place = F.struct("doc_id", "th", "at")
     firsts = materialize(windows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("h1", "h2", "a"))
     later = windows.join(sized(firsts), ["h1", "h2"]).where(place != F.col("a"))
-    removed = materialize(later.groupBy("doc_id", "th").agg(F.collect_set("at").alias("_starts")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_starts"))
-    joined = docs.join(sized(removed), (docs.doc_id == F.col("_d")) & (F.xxhash64(docs.text) == F.col("_t")), "left").select(*docs.columns, "_starts")
+    d, t, starts = (free_name(docs, x) for x in ("_d", "_t", "_starts"))
+    removed = materialize(later.groupBy("doc_id", "th").agg(F.collect_set("at").alias(starts)).select(F.col("doc_id").alias(d), F.col("th").alias(t), starts))
+    joined = docs.join(sized(removed), (docs["doc_id"] == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left").select(*[docs[c] for c in docs.columns], starts)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + (", n_lines long, n_removed long" if counts else "")
     return joined.mapInArrow(_cut(docs.columns.index("text"), width, counts), fields)
 
