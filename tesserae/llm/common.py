@@ -103,13 +103,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     seen = sign(now)
     while seen[0]:
+        files = 1 + seen[0] // 200_000  # stars never have more rows than the edges before; small ones need few tasks
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = materialize(large.coalesce(files))
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
-        after = materialize(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        after = materialize(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().coalesce(2 * files))
         drop(now, large)
         now, was, seen = after, seen, sign(after)
         if was == seen:
