@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import context as C
 from ..operators import documents as D
 from ..operators import edges as E
 from ..operators import graph as G
@@ -485,3 +486,67 @@ def lint_summary(s, d):
 @query()
 def page_anchors(s, d):
     return D.anchors(_pages(s, d))
+
+
+# Context, identity and scheduling
+
+
+@query("SELECT 'n' || n_nationkey AS module_id, CASE WHEN n_nationkey % 7 = 0 THEN 'failed' ELSE 'done' END AS outcome FROM nation UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey % 7 = 0) THEN 'skipped' ELSE 'done' END FROM region")
+def queue_outcomes(s, d):
+    failed = read(s, d, "nation").where("n_nationkey % 7 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("module_id"))
+    return C.queue_outcomes(view(s, d, "v_module"), failed)
+
+
+def _ranked_overlaps(s, d):
+    o = M.overlaps(_snapshot(s, d, 1998), _snapshot(s, d, 1997)).withColumn("overlap", F.col("common") / F.col("new_size"))
+    return o.select(F.col("new_id").alias("ord"), "new_id", "old_id", "overlap")
+
+
+@query()
+def greedy_identity(s, d):
+    return C.assign_identities(_ranked_overlaps(s, d), 0.1)
+
+
+@query()
+def layered_budget(s, d):
+    p = read(s, d, "documents").select(F.concat_ws("/", "source", "lang").alias("grp"), F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("idx", "p"))
+    return C.layered_budget(p.select("grp", "doc", "idx", F.length("p").alias("size")), 4000)
+
+
+@query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name || '.md') = 1 THEN p_name || '.md' ELSE p_name || '.md-' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) END AS file_name FROM part")
+def frozen_names(s, d):
+    return C.freeze_names(read(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(".md")).alias("stem")), "stem", "p_partkey").select("p_partkey", "file_name")
+
+
+@query("""o AS (SELECT o_orderpriority AS parent_id, o_custkey AS module_id, min(o_orderstatus) AS t, count(*) AS n FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1, 2), n AS (SELECT o_orderpriority AS parent_id, o_custkey AS module_id, min(o_orderstatus) AS t, count(*) AS n FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1, 2)
+SELECT coalesce(o.parent_id, n.parent_id) AS parent_id, coalesce(o.module_id, n.module_id) AS module_id, coalesce(o.t, n.t) AS title, coalesce(n.n, o.n) AS n FROM o FULL JOIN n ON o.parent_id = n.parent_id AND o.module_id = n.module_id""", "v_component")
+def merged_children(s, d):
+    of = lambda y: read(s, d, "orders").where(F.year("o_orderdate") == y).groupBy(F.col("o_orderpriority").alias("parent_id"), F.col("o_custkey").alias("module_id")).agg(F.min("o_orderstatus").alias("title"), F.count("*").alias("n"))
+    return C.merge_children(of(1997), of(1998))
+
+
+@query("""f AS (SELECT file_path || '/' || name AS path, p_size AS size, top_dir, file_path FROM v_component) SELECT '' AS folder, 0 AS depth, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f UNION ALL SELECT top_dir, 1, count(*), CAST(sum(size) AS BIGINT) FROM f GROUP BY 1 UNION ALL SELECT file_path, 2, count(*), CAST(sum(size) AS BIGINT) FROM f GROUP BY 1""", "v_component")
+def folder_sizes(s, d):
+    return C.folder_sizes(view(s, d, "v_component").select(F.concat_ws("/", "file_path", "name").alias("path"), F.col("p_size").alias("size")))
+
+
+@query("""SELECT '{"data":{"id":"' || component_id || '","label":"' || name || '","type":"' || component_type || '"}}' AS element FROM v_component UNION ALL SELECT DISTINCT '{"data":{"id":"' || from_id || '-' || to_id || '","source":"' || from_id || '","target":"' || to_id || '"}}' FROM v_edge WHERE to_id IS NOT NULL""", "v_component", "v_edge")
+def graph_export(s, d):
+    return C.export_elements(view(s, d, "v_component"), view(s, d, "v_edge"))
+
+
+@query("SELECT e.from_id AS caller, e.to_id AS callee, CAST(i - 1 AS INTEGER) AS position, string_split(p_name, ' ')[i] AS parameter FROM v_edge e JOIN part ON p_partkey = to_id CROSS JOIN (VALUES (1), (2)) v(i) WHERE edge_type = 'calls' AND len(string_split(p_name, ' ')) >= i", "v_edge")
+def flow_edges(s, d):
+    c = read(s, d, "part").select(F.col("p_partkey").alias("component_id"), F.split("p_name", " ").alias("parameters"))
+    return C.flow_edges(view(s, d, "v_edge"), c)
+
+
+@query("""i AS (SELECT name AS known, min(component_id) AS id FROM v_component GROUP BY 1), w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '_')) ELSE p_name || 's' END AS name FROM part),
+k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM w), j AS (SELECT *, regexp_replace(lower(known), '[^a-z0-9]', '', 'g') AS k FROM i),
+f AS (SELECT name, min(id) AS f FROM k JOIN j USING (k) GROUP BY 1), s AS (SELECT name, id, 1 - levenshtein(lower(name), lower(known)) / greatest(length(name), length(known)) AS s FROM k JOIN j ON substr(k.k, 1, 3) = substr(j.k, 1, 3) WHERE name NOT IN (SELECT name FROM f)),
+b AS (SELECT name, arg_min(id, ROW(-s, id)) AS n FROM s WHERE s >= 0.85 GROUP BY 1)
+SELECT w.name, coalesce(i.id, f.f, b.n) AS component_id, CASE WHEN i.id IS NOT NULL THEN 'exact' WHEN f.f IS NOT NULL THEN 'folded' WHEN b.n IS NOT NULL THEN 'similar' ELSE 'none' END AS how FROM w LEFT JOIN i ON i.known = w.name LEFT JOIN f ON f.name = w.name LEFT JOIN b ON b.name = w.name""", "v_component")
+def healed_names(s, d):
+    k = F.col("p_partkey") % 3
+    names = read(s, d, "part").select(F.when(k == 0, F.col("p_name")).when(k == 1, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.concat("p_name", F.lit("s"))).alias("name"))
+    return C.heal_names(names, view(s, d, "v_component"))

@@ -158,3 +158,30 @@ def test_registry_stream_equals_batch(spark, tmp_path):
     registry.run_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     assert rows(registry.read_registry(spark, f"{tmp_path}/out")) == rows(registry.latest(events))
     assert rows(registry.on_load(registry.latest(events)).where("status = 'running'")) == []
+
+
+def test_identities_are_given_in_order(spark):
+    from tesserae.operators import context
+
+    o = spark.createDataFrame([(1, "a", "x", 0.9), (1, "a", "y", 0.8), (2, "b", "x", 0.95), (2, "b", "y", 0.75), (3, "c", "y", 0.99), (3, "c", "z", 0.7), (4, "d", "z", 0.5)], "ord int, new_id string, old_id string, overlap double")
+    assert rows(context.assign_identities(o), "new_id", "old_id") == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_layered_budget_takes_ends_first(spark):
+    from tesserae.operators import context
+
+    p = spark.createDataFrame([("g", 1, 0, 4), ("g", 1, 1, 9), ("g", 1, 2, 4), ("g", 2, 0, 4), ("g", 2, 1, 2)], "grp string, doc int, idx int, size int")
+    assert rows(context.layered_budget(p, 15), "kept", "used") == [(4, 14)]
+
+
+def test_small_context_functions(spark):
+    from tesserae.operators import context
+
+    c = spark.createDataFrame([("a", "int* p = new int; free(p);"), ("b", "malloc(3)"), ("c", "x")], "component_id string, source string")
+    assert rows(context.ownership(c), "component_id", "leak_risk") == [("a", False), ("b", True)]
+    s = spark.createDataFrame([("f(A, B[T], k=v, *x)",), ("class X extends Y",)], "s string")
+    assert sorted(r[0] for r in s.select(context.base_classes(F.col("s"))).collect()) == [["A", "B"], ["Y"]]
+    t = context.test_files(spark.createDataFrame([("t/test_a.py",), ("b.spec.ts",), ("z.py",)], "path string"), spark.createDataFrame([(1, "src/a.py"), (2, "src/b.ts")], "component_id long, file_path string"))
+    assert rows(t) == [(1, "t/test_a.py"), (2, "b.spec.ts")]
+    assert spark.range(1).select(context.progress(F.lit(1.0), F.lit(4.0), F.lit(10.0)).alias("p")).select("p.*").first() == (0.25, 30.0)
+    assert spark.range(1).select(context.is_entry_point(F.lit("a/main.py")), context.is_entry_point(F.lit("a/x.py"))).first() == (True, False)
