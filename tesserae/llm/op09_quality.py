@@ -29,6 +29,8 @@ DIMS, KEEP, STEPS, LEAST = 5, 0.75, 3, 200
 CUTOFF = 60.0
 #: Smallest variance of each statistic. The one of repetition is wide: most texts have none, and a short refrain is no fault.
 FLOOR = (0.05, 0.05, 0.02, 0.5, 0.02)
+#: Files of tables that have a row for each group.
+_FILES = 8
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -107,19 +109,19 @@ def _within(df: DataFrame, value: str, share: float, per: int) -> DataFrame:
 def _concentrated(df: DataFrame, guess: DataFrame) -> DataFrame:
     """A concentration step: the estimate of the KEEP share of each group that is nearest under the guess."""
     near = _distances(df, guess).withColumn("ld", F.log(F.col("d") + 1e-6))
-    edges = materialize(_within(near, "ld", KEEP, 64))
-    return materialize(_moments(near.join(sized(edges), "g"), F.when(F.col("ld") <= F.col("edge"), 1.0).otherwise(0.0)))
+    edges = materialize(_within(near, "ld", KEEP, 64).coalesce(_FILES))
+    return materialize(_moments(near.join(sized(edges), "g"), F.when(F.col("ld") <= F.col("edge"), 1.0).otherwise(0.0)).coalesce(_FILES))
 
 
 def _estimates(df: DataFrame) -> DataFrame:
     """The estimate of each group with the smaller determinant, from two deterministic starts."""
-    every = materialize(_moments(df, F.lit(1.0)))
+    every = materialize(_moments(df, F.lit(1.0)).coalesce(_FILES))
     medians = None
     for i in range(DIMS):
         one = _within(df, f"x{i}", 0.5, 256).withColumnRenamed("edge", f"m{i}")
         medians = one if medians is None else medians.join(one, "g")
     flat = every.select("g", *[f"l{i}_{j}" if i == j else F.lit(0.0).alias(f"l{i}_{j}") for i, j in _pairs()])
-    starts = [every, materialize(medians.join(flat, "g").select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in _pairs()]))]
+    starts = [every, materialize(medians.join(flat, "g").select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in _pairs()]).coalesce(_FILES))]
     ends = []
     for s, guess in enumerate(starts):
         for _ in range(STEPS):
