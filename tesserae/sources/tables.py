@@ -7,20 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "v_component": """SELECT p_partkey AS component_id, p_name AS name, concat(p_type, '/', p_brand) AS file_path, p_type AS top_dir, p_size,
  CASE WHEN p_size % 5 = 0 THEN 'class' WHEN p_size % 5 = 1 THEN 'method' ELSE 'function' END AS component_type FROM part""",
-    "v_step": """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity, l_partkey AS from_id,
+    "v_step": """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey AS from_id,
  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS to_id FROM lineitem""",
     "v_edge": """SELECT s.from_id, CASE WHEN p.p_size <= 45 THEN s.to_id END AS to_id, CASE WHEN p.p_size > 45 THEN p.p_name END AS to_unresolved,
  CASE s.l_returnflag WHEN 'A' THEN 'imports' WHEN 'N' THEN 'calls' ELSE 'extends' END AS edge_type,
  CASE WHEN p.p_size > 45 THEN 'low' WHEN s.l_linestatus = 'F' THEN 'high' ELSE 'medium' END AS confidence, s.l_orderkey AS ev_file, s.l_linenumber AS ev_line
- FROM v_step s JOIN part p ON p.p_partkey = s.to_id WHERE s.to_id IS NOT NULL AND s.l_quantity >= 48""",
+ FROM v_step s JOIN part p ON p.p_partkey = s.to_id WHERE s.to_id IS NOT NULL""",
     "v_module": """SELECT concat('n', n_nationkey) AS module_id, concat('r', n_regionkey) AS parent_id, n_name AS title, 2 AS depth FROM nation
  UNION ALL SELECT concat('r', r_regionkey), 'root', r_name, 1 FROM region""",
     "v_member": """SELECT DISTINCT concat('n', c.c_nationkey) AS module_id, o.o_orderpriority AS lane, year(o.o_orderdate) AS snapshot, c.c_custkey AS component_id
  FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey""",
     "v_registry_event": """SELECT user_id AS artifact_id, event_id, ts,
  CASE event_type WHEN 'signup' THEN 'missing' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'valid' WHEN 'error' THEN 'failed' ELSE 'stale' END AS status FROM events""",
-    "v_digraph": "SELECT DISTINCT from_id AS src, to_id AS dst FROM v_step WHERE to_id IS NOT NULL AND from_id <> to_id AND l_quantity >= 49",
-    "v_dag": "SELECT DISTINCT least(from_id, to_id) AS dst, greatest(from_id, to_id) AS src FROM v_step WHERE to_id IS NOT NULL AND from_id <> to_id AND l_quantity >= 50",
+    "v_digraph": "SELECT DISTINCT from_id AS src, to_id AS dst FROM v_step WHERE to_id IS NOT NULL AND from_id <> to_id",
+    "v_dag": "SELECT DISTINCT least(from_id, to_id) AS dst, greatest(from_id, to_id) AS src FROM v_step WHERE to_id IS NOT NULL AND from_id <> to_id",
     "v_usage": "SELECT role AS model, conv_id, turn, CAST(length(text) AS BIGINT) AS chars FROM conversations",
 }
 #: Views that a view reads.

@@ -185,3 +185,16 @@ def test_small_context_functions(spark):
     assert rows(t) == [(1, "t/test_a.py"), (2, "b.spec.ts")]
     assert spark.range(1).select(context.progress(F.lit(1.0), F.lit(4.0), F.lit(10.0)).alias("p")).select("p.*").first() == (0.25, 30.0)
     assert spark.range(1).select(context.is_entry_point(F.lit("a/main.py")), context.is_entry_point(F.lit("a/x.py"))).first() == (True, False)
+
+
+def test_graph_views_read_whole_tables(spark):
+    import duckdb
+
+    from tesserae.sources.tables import view
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    step = f"(SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS b FROM '{d}/lineitem.parquet')"
+    assert view(spark, d, "v_edge").count() == con.sql(f"SELECT count(*) FROM {step} WHERE b IN (SELECT p_partkey FROM '{d}/part.parquet')").fetchall()[0][0]
+    assert view(spark, d, "v_digraph").count() == con.sql(f"SELECT count(DISTINCT (a, b)) FROM {step} WHERE a <> b").fetchall()[0][0]
+    assert view(spark, d, "v_dag").count() == con.sql(f"SELECT count(DISTINCT (least(a, b), greatest(a, b))) FROM {step} WHERE a <> b").fetchall()[0][0]
