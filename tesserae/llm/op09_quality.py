@@ -2,11 +2,12 @@
 
 All of it is DataFrame expressions. Each text gives counts, and from them a vector of DIMS transformed statistics:
 log of the word count, mean word length, log share of symbols, log share of repeated lines and windows, and log share of
-upper-case letters. For each language and source (pooled to the language, then to all, where there are fewer than LEAST documents) the
+upper-case letters. A document is judged by the estimate of its language and source, or where that has fewer than LEAST
+documents by the one of its whole language, or where that has fewer too by the one of all documents, however few. The
 estimate starts from two deterministic guesses (medians of a fine histogram with their spread; mean and covariance), takes concentration steps (keep the
 KEEP share of smallest Mahalanobis distance, re-estimate) and keeps the guess with the smaller determinant. The share is
 found from a histogram of log distances, so no group is gathered anywhere: hot groups are pre-aggregated in every task.
-A floor on every variance keeps estimates regular where a statistic hardly varies. A document whose squared
+A floor on every variance keeps estimates regular where a statistic hardly varies; below LEAST documents it grows as their number falls. A document whose squared
 distance exceeds CUTOFF is rejected, as is one that fails the base rules.
 
 Null and empty texts have no words and fail the base rules. A null lang or source is a group of its own. Repeated rows
@@ -76,9 +77,9 @@ def _pairs() -> list[tuple[int, int]]:
 def _moments(df: DataFrame, weight: Column) -> DataFrame:
     """For each group the mean m and, by Cholesky (lower l, with floors added), the covariance of the rows of weight 1."""
     sums = [F.sum(weight).alias("w"), *[F.sum(weight * F.col(f"x{i}")).alias(f"s{i}") for i in range(DIMS)], *[F.sum(weight * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _pairs()]]
-    out = df.groupBy("g").agg(*sums).where("w > 0")
-    out = out.select("g", *[(F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in range(DIMS)], *[(F.col(f"q{i}_{j}") / F.col("w") - F.col(f"s{i}") / F.col("w") * F.col(f"s{j}") / F.col("w")).alias(f"c{i}_{j}") for i, j in _pairs()])
-    return _cholesky(out.withColumns({f"c{i}_{i}": F.greatest(f"c{i}_{i}", F.lit(0.0)) + FLOOR[i] for i in range(DIMS)}))
+    out = df.groupBy("g").agg(*sums, F.greatest(F.lit(1.0), LEAST / F.count("*")).alias("few")).where("w > 0")
+    out = out.select("g", "few", *[(F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in range(DIMS)], *[(F.col(f"q{i}_{j}") / F.col("w") - F.col(f"s{i}") / F.col("w") * F.col(f"s{j}") / F.col("w")).alias(f"c{i}_{j}") for i, j in _pairs()])
+    return _cholesky(out.withColumns({f"c{i}_{i}": F.greatest(f"c{i}_{i}", F.lit(0.0)) + FLOOR[i] * F.col("few") for i in range(DIMS)}))
 
 
 def _cholesky(df: DataFrame) -> DataFrame:
@@ -134,25 +135,24 @@ def _estimates(df: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every document.
 
-    distance: squared and robust; null where the base rules fail or no group has LEAST documents.
+    distance: squared and robust; null where the base rules fail.
     """
     counted = text_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.to_json(F.struct(F.lit("s").alias("k"), "lang", "source")).alias("own"), F.to_json(F.struct(F.lit("l").alias("k"), "lang")).alias("pool"))).drop("text")
     rows = materialize(_statistics(counted.withColumn("base_failed", base_failed())))
     good = rows.where("not base_failed")
 
-    def big(column: str, df: DataFrame) -> DataFrame:
-        return materialize(df.groupBy(F.col(column)).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select(F.col(column), F.col(column).alias(f"{column}_g")))
-
-    own = big("own", good)
+    own = materialize(good.groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("own", F.col("own").alias("own_g")))
     rows = rows.join(sized(own), "own", "left")
-    pools = big("pool", rows.where("not base_failed and own_g is null"))
-    rows = rows.join(sized(pools), "pool", "left").withColumn("g", F.coalesce("own_g", "pool_g", F.lit("all"))).drop("own", "pool", "own_g", "pool_g")
-    good = materialize(rows.where("not base_failed").select("g", *[f"x{i}" for i in range(DIMS)]))
-    enough = materialize(good.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("g"))
-    good = good.join(sized(enough), "g", "left_semi")
-    final = materialize(_estimates(good))
+    # pools hold all their documents, and are estimated only where some document has no own group
+    pools = rows.where("not base_failed").groupBy("pool").agg(F.count("*").alias("n"), F.count_if(F.col("own_g").isNull()).alias("left"))
+    pools = materialize(pools.where((F.col("n") >= LEAST) & (F.col("left") > 0)).select("pool", F.col("pool").alias("pool_g")))
+    rows = rows.join(sized(pools), "pool", "left").withColumn("g", F.coalesce("own_g", "pool_g", F.lit("all")))
     held = materialize(rows.where("not base_failed"))
-    judged = _distances(held, final).unionByName(rows.where("base_failed").withColumn("d", F.lit(None).cast("double"))).unionByName(held.join(sized(enough), "g", "left_anti").withColumn("d", F.lit(None).cast("double")))
+    everyone = F.lit(None).cast("string") if held.where("g = 'all'").isEmpty() else F.lit("all")
+    members = held.select(F.explode(F.array_compact(F.array("own_g", "pool_g", everyone))).alias("g"), *[f"x{i}" for i in range(DIMS)])
+    final = materialize(_estimates(materialize(members)))
+    held, rest = held.drop("own", "pool", "own_g", "pool_g"), rows.where("base_failed").drop("own", "pool", "own_g", "pool_g")
+    judged = _distances(held, final).unionByName(rest.withColumn("d", F.lit(None).cast("double")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("d", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d").alias("distance"))
 
 

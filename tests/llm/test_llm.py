@@ -336,6 +336,17 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert all(got[i] for i in range(400)) and not any(got[i] for i in range(400, 440))
 
 
+def test_quality_judges_small_tables_and_rare_languages(spark):
+    r = random.Random(4)
+    clean = lambda: " ".join(r.choice(WORDS) for _ in range(r.randrange(100, 400))) + "."
+    junk = lambda: " ".join(r.choice(WORDS) + r.choice("#$%*") * 3 for _ in range(200))
+    few = [(i, clean() if i < 60 else junk(), "en", "s") for i in range(66)]
+    rare = [(i, clean(), "en", "s") for i in range(300)] + [(i, clean() if i < 305 else junk(), None, "s") for i in range(300, 310)]
+    for rows, bad in ((few, set(range(60, 66))), (rare, set(range(305, 310)))):
+        got = {x.doc_id: (x.kept, x.distance) for x in op09_quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert {i for i, (kept, _) in got.items() if not kept} == bad and all(d is not None for _, d in got.values())
+
+
 def test_secrets_equal_full_scans(spark):
     r = random.Random(3)
     words = ["password", "PassWd", "secret", "token", "Api_Key", "apikey", '"', "'", " ", ":", "=", "abc", "123456", "AKIA", "ABCDEFGH12345678", "é", "好", " the ", "deadbeef" * 3, "ghp_" + "a1" * 18, "\n", "xoxb-", "1234567890-x", "eyJabcdefghi.eyJabcdefghi.abcdefghi", "-----BEGIN RSA PRIVATE KEY-----", "ftp://a:bcd@", "K", "ſecret"]
