@@ -41,16 +41,42 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def _segments(known: Column, least: float) -> Column:
+    """The keys (length, place, part) of a known name: one part more than the edits that a name at least this similar has."""
+    m = F.length(known)
+    edits = F.floor(m * (1 - least) / least + 1e-9).cast("int")
+    start = lambda i: F.floor(i * m / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(m.alias("m"), i.alias("i"), F.substring(known, start(i) + 1, start(i + 1) - start(i)).alias("part")))
+
+
+def _probes(name: Column, least: float) -> Column:
+    """The keys that a known name can have of which an edit leaves a part as it is, moved by no more places than edits."""
+    n = F.length(name)
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+    def of_part(m: Column, i: Column) -> Column:
+        edits = F.floor(m * (1 - least) / least + 1e-9).cast("int")
+        a, b = F.floor(i * m / (edits + 1)).cast("int"), F.floor((i + 1) * m / (edits + 1)).cast("int")
+        at = span(F.greatest(F.lit(0), a - edits), F.least(n - (b - a), a + edits))
+        return F.transform(at, lambda p: F.struct(m.alias("m"), i.alias("i"), F.substring(name, p + 1, b - a).alias("part")))
+
+    of_length = lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.floor(m * (1 - least) / least + 1e-9).cast("int")), lambda i: of_part(m, i)))
+    return F.array_distinct(F.flatten(F.transform(span(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int")), of_length)))
+
+
 def heal_names(names: DataFrame, components: DataFrame, least: float = 0.85) -> DataFrame:
     """(name, component_id, how): names to component ids: equal, then equal without case and punctuation, then the most
-    similar with the same first three letters. Ties: smaller id. Names that nothing matches get null."""
+    similar of all known names. Ties: smaller id. Names that nothing matches get null.
+
+    Pairs to compare meet without loss: of a known name cut into one part more than there can be edits, a part stays whole."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     ids = components.select("component_id", F.col("name").alias("known"))
     wanted = names.select("name").distinct()
     exact = wanted.join(ids, F.col("name") == F.col("known")).groupBy("name").agg(F.min("component_id").alias("e"))
     folded = wanted.withColumn("k", plain(F.col("name"))).join(ids.withColumn("k", plain(F.col("known"))), "k").groupBy("name").agg(F.min("component_id").alias("f"))
-    left = wanted.join(folded, "name", "left_anti").withColumn("k", F.substring(plain(F.col("name")), 1, 3))
-    near = left.join(ids.groupBy("known").agg(F.min("component_id").alias("component_id")).withColumn("k", F.substring(plain(F.col("known")), 1, 3)), "k").withColumn("s", similarity(F.lower("name"), F.lower("known"))).where(F.col("s") >= least)
+    left = wanted.join(folded, "name", "left_anti").withColumn("k", F.explode(_probes(F.lower("name"), least)))
+    cut = ids.groupBy("known").agg(F.min("component_id").alias("component_id")).withColumn("k", F.explode(_segments(F.lower("known"), least)))
+    near = left.join(cut, "k").select("name", "known", "component_id").distinct().withColumn("s", similarity(F.lower("name"), F.lower("known"))).where(F.col("s") >= least)
     best = near.groupBy("name").agg(F.min_by("component_id", F.struct(-F.col("s"), "component_id")).alias("n"))
     out = wanted.join(exact, "name", "left").join(folded, "name", "left").join(best, "name", "left")
     return out.select("name", F.coalesce("e", "f", "n").alias("component_id"), F.when(F.col("e").isNotNull(), "exact").when(F.col("f").isNotNull(), "folded").when(F.col("n").isNotNull(), "similar").otherwise("none").alias("how"))

@@ -198,3 +198,34 @@ def test_graph_views_read_whole_tables(spark):
     assert view(spark, d, "v_edge").count() == con.sql(f"SELECT count(*) FROM {step} WHERE b IN (SELECT p_partkey FROM '{d}/part.parquet')").fetchall()[0][0]
     assert view(spark, d, "v_digraph").count() == con.sql(f"SELECT count(DISTINCT (a, b)) FROM {step} WHERE a <> b").fetchall()[0][0]
     assert view(spark, d, "v_dag").count() == con.sql(f"SELECT count(DISTINCT (least(a, b), greatest(a, b))) FROM {step} WHERE a <> b").fetchall()[0][0]
+
+
+def test_healing_compares_with_every_known_name(spark):
+    import random
+
+    from tesserae.operators.context import heal_names
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(7)
+    known = ["steel ring bolt", "é"] + ["".join(r.choice("ab c") for _ in range(r.randrange(1, 30))) for _ in range(60)]
+    names = ["xteel ring bolt", "teel ring bolt", "a steel ring bolt", "zzz"]
+    for k in known:
+        w = list(k)
+        for _ in range(r.randrange(5)):
+            at = r.randrange(len(w) + 1)
+            w[at : at + r.randrange(2)] = r.choice(["", "q", "a"])
+        names.append("".join(w))
+    got = {x.name: (x.component_id, x.how) for x in heal_names(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(list(enumerate(known)), "component_id long, name string")).collect()}
+    assert got["xteel ring bolt"] == got["teel ring bolt"] == got["a steel ring bolt"] == (0, "similar")
+    for n in names:
+        if got[n][1] in ("similar", "none"):
+            s = [(-(1 - distance(n, k) / max(len(n), len(k), 1)), i) for i, k in enumerate(known)]
+            best = min(x for x in s)
+            assert got[n] == ((best[1], "similar") if -best[0] >= 0.85 else (None, "none")), n
