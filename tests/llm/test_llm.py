@@ -300,6 +300,22 @@ def test_quotations(spark):
     assert op07_quotations.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotations_of_runs_and_deeper_levels(spark):
+    first = "The first line is here\nand the second follows it\nthe third one ends it\n\nYes\nNo way"
+    replies = [
+        (1, "> and the second follows it\n> the third one ends it\nA"),
+        (1, "> The first line is\n> here and the second\nB\n> follows it the third one ends it\nC"),
+        (1, "> Yes\n> no way\nD"),
+        (1, "> an edited line of words\n>> the second follows it\nE"),
+        (0, "> The first line is here\n> the third one ends it\nF"),
+    ]
+    rows = [row for k, (_, text) in enumerate(replies) for row in [(k, 0, "u", first), (k, 1, "a", text)]]
+    got = {r.conv_id: r for r in op07_quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 1").collect()}
+    for k, (links, _) in enumerate(replies):
+        assert (got[k].reply_to, got[k].thread, got[k].n_linked > 0) == ((0, 0, True) if links else (None, 1, False)), k
+    assert got[1].n_linked == got[1].n_quotes == 2 and got[1].text == "B\nC"
+
+
 def test_line_windows(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\n a \n\nb\nc\nd\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "q\nq\nq\nq\nq"), (7, "a\nb\nc")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in op08_line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
