@@ -8,7 +8,7 @@ the capacity (at most a few kinds for each length), however many documents there
   kind as often as the counts allow.
 * Local search: between two kinds that are not full, exchange a length for a larger one, two lengths for a larger one, or
   move a length, whenever the sum of squared fills grows; kinds whose sequences become empty go. Each step acts on
-  min(multiplicities) sequences at once.
+  min(multiplicities) sequences at once. The search ends where no such step is left.
 
 Pieces get their place by rank within their length: ranks are taken within salted groups and offset by the groups'
 counts, so a length that a third of all pieces share is no single task's work.
@@ -27,6 +27,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,6 @@ CAPACITY = 2048
 MEMO, WORD = 600_000, 48
 #: Pieces in a salted group within which ranks are taken.
 GROUP = 20_000
-#: Pairs of kinds that the local search tries at most. It bounds the driver's time, whatever the number of documents; what is
-#: not improved by then stays as best fit left it.
-EFFORT = 200_000
 
 
 class _Words(dict):
@@ -133,70 +131,139 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[list]:
     return kinds
 
 
-def local_search(kinds: list[list], capacity: int, effort: int = EFFORT) -> list[list]:
-    """Swaps and moves between kinds that are not full, as long as the squared fill grows; `effort` pairs are tried at most."""
+def local_search(kinds: list[list], capacity: int) -> list[list]:
+    """Swaps and moves between kinds that are not full, until none raises the squared fill.
+
+    The fuller kind takes a longer length from the other for none, one or two of its own, as far as its room allows.
+    Fullest takers and emptiest givers first. A kind waits in a queue to be tried as a taker; one that found nothing comes
+    back only when a new kind holds a length that it could take.
+    """
     full: Counter = Counter()
     todo: Counter = Counter()
     for k, m in kinds:
         (full if sum(k) == capacity else todo)[tuple(sorted(k, reverse=True))] += m
-    offers: dict[tuple, tuple] = {}
-    while effort > 0:
-        order = sorted(todo, key=lambda k: (-sum(k), k))
-        step, effort = _step(order, todo, capacity, offers, effort)
+    pool = _Pool(capacity)
+    for k in todo:
+        pool.add(k)
+    queue = [(-sum(k), k) for k in todo]
+    heapify(queue)
+    while queue:
+        take = heappop(queue)[1]
+        step = pool.step(take, todo) if take in todo else None
         if not step:
-            break
-        take, give, new = step
+            continue
+        give, new = step
         times = min(todo[take], todo[give]) if take != give else todo[take] // 2
         for k, m in ((take, -times), (give, -times), (new[0], times), (new[1], times)):
-            if k:
-                at = full if sum(k) == capacity else todo
-                at[k] += m
-                if not at[k]:
-                    del at[k]
+            if not k:
+                continue
+            if sum(k) == capacity:
+                full[k] += m
+                continue
+            fresh = k not in todo
+            todo[k] += m
+            if not todo[k]:
+                del todo[k]
+                pool.remove(k)
+                continue
+            if fresh:
+                pool.add(k)
+                for other in pool.takers(k):
+                    heappush(queue, (-sum(other), other))
+            heappush(queue, (-sum(k), k))
     return [[list(k), m] for k, m in [*full.items(), *todo.items()]]
 
 
-def _offers(kind: tuple) -> tuple[np.ndarray, list[tuple], np.ndarray]:
-    """What a kind can give in an exchange: sums of none, one or two of its lengths, which they are, and single lengths."""
-    out = {0: ()} | {x: (x,) for x in kind}
-    if len(kind) <= 64:
-        for i, x in enumerate(kind):
-            for y in kind[i + 1 :]:
+class _Pool:
+    """Kinds that are not full: what each can take, and who gives each length."""
+
+    def __init__(self, capacity: int):
+        self.lengths = np.arange(capacity + 1)
+        self.rows: dict[tuple, int] = {}
+        self.kinds: list[tuple | None] = []
+        self.free: list[int] = []
+        self.sums = np.zeros(64, np.int64)
+        self.takes = np.zeros((64, capacity + 1), bool)
+        self.givers: list[list] = [[] for _ in range(capacity + 1)]
+        self.emptiest = np.full(capacity + 1, capacity + 1)
+
+    def add(self, kind: tuple) -> None:
+        if self.free:
+            at = self.free.pop()
+            self.kinds[at] = kind
+        else:
+            at = len(self.kinds)
+            self.kinds.append(kind)
+            if at == len(self.sums):
+                self.sums, self.takes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.takes, np.zeros_like(self.takes)])
+        self.rows[kind], self.sums[at], self.takes[at] = at, sum(kind), self._gains(kind)[0] > 0
+        for x in set(kind):
+            heappush(self.givers[x], (sum(kind), kind))
+            self.emptiest[x] = self.givers[x][0][0]
+
+    def remove(self, kind: tuple) -> None:
+        at = self.rows.pop(kind)
+        self.kinds[at], self.takes[at] = None, False
+        self.free.append(at)
+        for x in set(kind):
+            self._prune(x)
+
+    def _prune(self, x: int) -> None:
+        heap = self.givers[x]
+        while heap and heap[0][1] not in self.rows:
+            heappop(heap)
+        self.emptiest[x] = heap[0][0] if heap else len(self.emptiest)
+
+    def _gains(self, kind: tuple) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """For each length: the gain of taking it (0 if it can't be taken) and which of the kind's own lengths go for it."""
+        own = sorted(set(kind))
+        out = {0: ()} | {x: (x,) for x in own}
+        for i, x in enumerate(own):
+            for y in own[i if kind.count(x) > 1 else i + 1 :]:
                 out.setdefault(x + y, (x, y))
-    sums = sorted(out)
-    return np.array(sums), [out[x] for x in sums], np.array(sorted(set(kind)))
-
-
-def _step(order: list[tuple], todo: Counter, capacity: int, offers: dict, effort: int):
-    """The first change (kind, kind, new kinds) that raises the squared fill: the fuller kind takes a longer length from
-    the other for none, one or two of its own, as far as its room allows. Fullest takers and emptiest givers first."""
-
-    def known(kind: tuple) -> tuple:
-        if kind not in offers:
-            offers[kind] = _offers(kind)
-        return offers[kind]
-
-    for take in order:
-        room = capacity - sum(take)
-        sums, parts, _ = known(take)
-        for give in reversed(order):
-            if sum(give) > sum(take) or (give == take and todo[take] < 2):
-                continue
-            effort -= 1
-            items = known(give)[2]
-            at = items.searchsorted(sums + room, "right") - 1
-            gains = np.where(at >= 0, items[at], 0) - sums
-            best = int(gains.argmax())
-            if gains[best] > 0:
-                a, b = Counter(take), Counter(give)
-                a.subtract(parts[best])
-                b.update(parts[best])
-                a[int(items[at[best]])] += 1
-                b[int(items[at[best]])] -= 1
-                return (take, give, tuple(tuple(sorted(c.elements(), reverse=True)) for c in (a, b))), effort
-            if effort <= 0:
-                return None, 0
-    return None, effort
+        sums = np.array(sorted(out))
+        at = sums.searchsorted(self.lengths - (len(self.lengths) - 1 - sum(kind)), "left")
+        gains = np.where(at < len(sums), self.lengths - sums[np.minimum(at, len(sums) - 1)], 0)
+        return gains, at, [out[x] for x in sums.tolist()]
+
+    def takers(self, give: tuple) -> list[tuple]:
+        """The kinds at least as full as a new one that could take a length from it."""
+        hit = self.takes[: len(self.kinds), sorted(set(give))].any(axis=1) & (self.sums[: len(self.kinds)] >= sum(give))
+        return [k for k in (self.kinds[i] for i in np.flatnonzero(hit)) if k is not None]
+
+    def step(self, take: tuple, todo: Counter) -> tuple | None:
+        """The change of the largest gain for a taker: (giver, new kinds), or None."""
+        gains, at, parts = self._gains(take)
+        gains = np.where(self.emptiest <= sum(take), gains, 0)
+        while True:
+            x = int(gains.argmax())
+            if gains[x] <= 0:
+                return None
+            give = self._giver(x, take, todo)
+            if give is not None:
+                break
+            gains[x] = 0
+        a, b = Counter(take), Counter(give)
+        a.subtract(parts[at[x]])
+        b.update(parts[at[x]])
+        a[x] += 1
+        b[x] -= 1
+        return give, tuple(tuple(sorted(c.elements(), reverse=True)) for c in (a, b))
+
+    def _giver(self, x: int, take: tuple, todo: Counter) -> tuple | None:
+        """The emptiest kind that has x and is no fuller than the taker; the taker itself only if it comes twice."""
+        heap, found = self.givers[x], None
+        self._prune(x)
+        alone = []
+        while heap and heap[0][1] == take and todo[take] < 2:
+            alone.append(heappop(heap))
+            self._prune(x)
+        if heap and heap[0][0] <= sum(take):
+            found = heap[0][1]
+        for one in alone:
+            heappush(heap, one)
+        self._prune(x)
+        return found
 
 
 def slots(kinds: list[list]) -> dict[int, list[tuple[int, int, int]]]:

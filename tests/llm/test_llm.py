@@ -185,6 +185,27 @@ def test_local_search_empties_sequences():
     assert sum(m for _, m in op03_packing.local_search(loose, 10)) == 2
 
 
+def test_local_search_ends_where_no_exchange_is_left():
+    r = random.Random(6)
+    counts = Counter(min(2048, max(1, round(r.lognormvariate(6.5, 0.6)))) for _ in range(20_000))
+    held, capacity = op03_packing.local_search(op03_packing.best_fit(counts, 2048), 2048), 2048
+    loose = Counter()
+    for k, m in held:
+        if sum(k) < capacity:
+            loose[tuple(sorted(k))] += m
+    total = Counter()
+    for k, m in held:
+        total.update({x: c * m for x, c in Counter(k).items()})
+    assert total == counts
+    for take in loose:
+        room = capacity - sum(take)
+        sums = {0, *take, *(x + y for i, x in enumerate(take) for y in take[i + 1 :])}
+        can = {x for s in sums for x in range(s + 1, s + room + 1)}
+        for give in loose:
+            if sum(give) <= sum(take) and (give != take or loose[take] > 1):
+                assert can.isdisjoint(give)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
