@@ -397,6 +397,14 @@ def test_secrets_equal_full_scans(spark):
     assert [x.text for x in op10_secret_scans.redact(df).orderBy("doc_id").collect()] == ['é token = "[REDACTED assign]" x', None]
 
 
+def test_long_url_logins_are_found_and_redacted(spark):
+    for user, password in (("u", "p-" * 33), ("v-" * 40, "pass word".replace(" ", "-")), ("w", "q-" * 5000)):
+        text = f"see https://{user}:{password}@host/x now"
+        spans = op10_secret_scans.find_spans(pa.array([text]), op10_secret_scans.RULES)[0]
+        assert any(op10_secret_scans.RULES[k].kind == "url_login" for _, k, *_ in spans)
+        assert password not in op10_secret_scans.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+
+
 def test_trigram_queries():
     assert op10_secret_scans.trigram_query("AKIA[A-Z0-9]+") == ("and", "aki", "kia")
     assert op10_secret_scans.trigram_query("[0-9a-f]+") is True
