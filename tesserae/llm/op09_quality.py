@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize, sized, table
+from .common import free_name, materialize, sized, table
 
 DIMS, KEEP, STEPS, LEAST = 5, 0.75, 3, 200
 #: Squared distance beyond which a document is an outlier; far in the tail of chi-squared with DIMS degrees of freedom, as
@@ -137,7 +137,17 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
     distance: squared and robust; null where the base rules fail.
     """
-    counted = text_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.to_json(F.struct(F.lit("s").alias("k"), "lang", "source")).alias("own"), F.to_json(F.struct(F.lit("l").alias("k"), "lang")).alias("pool"))).drop("text")
+    return _judged(docs.withColumn("_key", F.lit(None).cast("string")), cutoff).drop("key")
+
+
+def _key() -> Column:
+    """What a row without doc_id is known by: rows equal in it get one verdict. Null for the others."""
+    return F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct("text", "lang", "source")), 256))
+
+
+def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
+    """verdicts() with `key`, the column _key of docs."""
+    counted = text_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"), F.to_json(F.struct(F.lit("s").alias("k"), "lang", "source")).alias("own"), F.to_json(F.struct(F.lit("l").alias("k"), "lang")).alias("pool"))).drop("text")
     rows = materialize(_statistics(counted.withColumn("base_failed", base_failed())))
     good = rows.where("not base_failed")
 
@@ -153,13 +163,18 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     final = materialize(_estimates(materialize(members)))
     held, rest = held.drop("own", "pool", "own_g", "pool_g"), rows.where("base_failed").drop("own", "pool", "own_g", "pool_g")
     judged = _distances(held, final).unionByName(rest.withColumn("d", F.lit(None).cast("double")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("d", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d").alias("distance"))
+    return judged.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("d", F.lit(0.0)) <= cutoff)).alias("kept"), F.col("d").alias("distance"))
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs that verdicts() keeps, with all their columns. doc_id null: dropped; repeated ids stand or fall together."""
-    bad = verdicts(docs, cutoff).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select("doc_id")
-    return docs.join(sized(materialize(bad)), "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs that verdicts() keeps, with all their columns. Repeated ids stand or fall
+    together; a row without doc_id has its own verdict."""
+    judged = _judged(docs.select("doc_id", "text", "lang", "source", _key().alias("_key")), cutoff)
+    good = materialize(judged.groupBy("doc_id", "key").agg(F.min("kept").alias("kept")).where("kept").select("doc_id", "key"))
+    known = docs.join(sized(materialize(good.where("doc_id is not null").select("doc_id"))), "doc_id", "left_semi").select(docs.columns)
+    name = free_name(docs, "_key")
+    keys = materialize(good.where("doc_id is null").select(F.col("key").alias(name)))
+    return known.unionByName(docs.where("doc_id is null").withColumn(name, _key()).join(sized(keys), name, "left_semi").select(docs.columns))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

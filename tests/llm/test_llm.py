@@ -455,3 +455,17 @@ def test_pipeline_stages(spark):
         else:
             assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
         before = after
+
+
+def test_pipeline_keeps_rows_without_id_and_one_of_a_repeated_id(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice(WORDS) + str(r.randrange(500)) for _ in range(150))
+    clean, twice, copied = text(), text(), text()
+    rows = [(i, text(), "en", "s", 1) for i in range(30)] + [(None, clean, "en", "s", 1), (None, clean, "en", "s", 1), (None, "too short", "en", "s", 1), (40, twice, "en", "s", 1), (40, twice, "en", "s", 1), (41, copied, "en", "s", 1), (None, copied, "en", "s", 1)]
+    good = common.materialize(p.quality_rules(spark, frame(spark, rows), SMALL))
+    assert Counter(x.text for x in good.collect()) == Counter(t for _, t, *_ in rows if t != "too short")
+    kept = p.ngram_join(spark, good, SMALL)
+    assert kept.columns == good.columns
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [(False, i) for i in [*range(30), 40, 41]] + [(True, 0)]
