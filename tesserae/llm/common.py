@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -12,6 +14,8 @@ from ..shipping import ship
 
 #: A side of a join is broadcast only if its written size is proven to be below this many bytes.
 BROADCAST_BYTES = 8 << 20
+#: Up to this many edges, components are found by one task; beyond, in rounds over all tasks.
+ONE_TASK = 200_000
 #: Rows in an Arrow batch: bounds the memory of a Python worker over texts of any usual length.
 ARROW_ROWS = 512
 
@@ -88,10 +92,28 @@ def global_rank(df: DataFrame, by: list[str]) -> DataFrame:
     return at.join(sized(ahead), "_part").withColumn("rank", F.col("_at") - F.col("_first") + F.col("_ahead")).drop("_at", "_part", "_first", "_ahead")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the (u, v) edges of one partition; the smallest node of a component names it."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            x, y = top(u), top(v)
+            parent[max(x, y)] = min(x, y)
+    yield pa.record_batch([pa.array(list(parent), pa.int64()), pa.array([top(x) for x in parent], pa.int64())], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id reachable, for every node with an edge. Alternating large and small stars.
 
-    Each round is two aggregations on node ids; a node with very many edges is pre-aggregated in every task and the
+    Up to ONE_TASK edges between long ids go through a union-find in one task instead, with the same result. Each round is two aggregations on node ids; a node with very many edges is pre-aggregated in every task and the
     join back is one that adaptive execution can split. Rounds grow with the logarithm of the longest path.
     Null ends and self-loops are dropped; no edges give no rows.
     """
@@ -102,16 +124,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     seen = sign(now)
+    if seen[0] <= ONE_TASK and {f.dataType.typeName() for f in now.schema} == {"long"}:
+        return now.coalesce(1).mapInArrow(_united, "node long, component long")
     while seen[0]:
         files = 1 + seen[0] // 200_000  # stars never have more rows than the edges before; small ones need few tasks
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(least.coalesce(files))
+        large = both.join(sized(least), F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large.coalesce(files))
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w").coalesce(files))
+        small = large.join(sized(low), F.col("u") == F.col("w")).select("u", "v", "m")
         after = materialize(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct().coalesce(2 * files))
-        drop(now, large)
+        drop(now, large, least, low)
         now, was, seen = after, seen, sign(after)
         if was == seen:
             break

@@ -1,27 +1,30 @@
-"""N-gram Jaccard join: classes of equal shingle sets, routing by signatures of set parts, and trie searches in blocks.
-
-1. Texts become sorted sets of shingle hashes; documents with equal sets form a class, which its smallest doc_id stands for.
-2. Sets that may be linked must meet. The order of shingles by hash is cut into parts, more of them than two linked sets
-   of such sizes can have shingles that only one of them holds; so at least one part that isn't empty is equal in both,
-   and equal digests of a part are a group. (Sizes come in intervals; a set uses the parts of its own interval and of the
-   one below.) Nothing is estimated here: two linked sets always share a group.
-3. Groups that share sets form candidate components. The sets of one are cut into blocks of up to BLOCK sets. A block
-   keeps a trie for each component that its own sets form (see trie.py); a set from an earlier block searches these and
-   reports one link to each, which keeps every connection. A set visits at most BLOCKS blocks, most often only its own.
-   In a component of more sets, every group first gets a pivot, and its other sets are compared with the pivot only,
-   which is linear in the group. Jaccard distance is a metric: with r = 1 - t, sets within r of the pivot form one
-   component with it, sets beyond 2 r can have no link to those, and the rim between searches blocks of those. What is
-   not within r goes on to the next round without the pivot. No link between different components is lost.
+"""N-gram Jaccard join: sets meet at shared tokens of their rarest shingles, tries in bounded blocks find the links.
+
+1. Order. A sketch of 2**SKETCH_BITS counters, each text's distinct shingles added over all documents, gives every shingle
+   a frequency level. Shingles are ordered by level, then by hash: one order for all sets, rarest first. Collisions in the
+   sketch make a shingle look more frequent than it is; that moves it in the order, which changes cost and never a result.
+2. Tokens. With that order, two sets that may be linked share one of their first n - ceil(t n) + 1 shingles. Sets that
+   share such a token are a group; a token that only one set has is dropped. Nothing is estimated here.
+3. Blocks. Every set has two home groups, those of its most and its least frequent shared token. A home group is cut into blocks of up
+   to BLOCK sets and BLOCK_SIZE shingles; the set of the smallest key visits all blocks of its group, so that a family of
+   copies is joined across blocks. A block orders its shingles by their frequency in it and keeps tries of its sets (see
+   trie.py), one for each family that its links form, so a set that is like a family stops at the first link to it.
+4. The rest. Components of the links so far are labelled. Where the sets of a group have different labels, those that
+   aren't of the group's commonest label search each block that a set of another label and of a fitting size is at home in.
+   So a link is missed by neither step: its two sets share a group, and either have one label, one block, or one searches
+   the block of the other. Steps 3 and 4 run once each; the number of jobs doesn't depend on what the groups hold.
+
+Sets are named by a digest of theirs, so equal sets are one set and copies cost nothing after step 2.
 
 Documents: null or empty texts (or such without words) have the empty set and link with nothing. Repeated rows give
-repeated result rows. A null doc_id stays null and is never a component's name. Columns besides doc_id and text are ignored.
-An empty table gives an empty result.
+repeated result rows; rows of one doc_id with different texts are linked by it. A null doc_id is never a component's name;
+such a row has the component of its set, null if no document with an id has an equal set. Columns besides doc_id and
+text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
-from bisect import bisect_left
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, materialize, sized, small_batches, table
-from .shingles import digest, mix, shingle_set
-from .trie import SetTrie
+from .common import connected_components, materialize, sized, small_batches, table
+from .shingles import digest, shingle_set
+from .trie import SetTrie, Vocabulary
 
-#: Sets in a block, blocks that a set may visit, and searching sets in a share of a block.
-BLOCK, BLOCKS, SHARE = 256, 32, 2000
+#: Sets and shingles in a block, and searching sets in a share of a block.
+BLOCK, BLOCK_SIZE, SHARE = 256, 1 << 21, 2000
+#: Counters of the frequency sketch, whose levels are broadcast (a byte each, 4 MB), and counters in a row of it.
+SKETCH_BITS, CHUNK_BITS = 22, 16
 #: Bits of the filter for groups of two or more sets: bounds what is broadcast to 8 MB. Fuller, it lets more pass, no fewer.
 FILTER_BITS = 26
 
@@ -43,83 +48,110 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-@functools.cache
-def _schemes(num: int, den: int, upto: int) -> list[tuple[int, int, int, int]]:
-    """(least size, most size, parts, spare parts) of the size intervals up to a size; 0 parts: only equal sets are linked."""
-    out, low = [], 1
-    while low <= upto:
-        high = low * den // num
-        other = min((high + 1) * den // num, high * den // num)
-        apart = (den - num) * (high + other) // (num + den)
-        spare = 1 + apart // 12
-        out.append((low, high, apart + 1 + spare if apart else 0, spare))
-        low = high + 1
-    return out
+def _packed(counts: np.ndarray) -> bytes:
+    """A row of counters: places and values if few are set, else all of them, compressed."""
+    at = np.flatnonzero(counts)
+    if len(at) * 8 < len(counts):
+        return b"s" + at.astype(np.uint16).tobytes() + counts[at].tobytes()
+    return b"z" + zlib.compress(counts.tobytes(), 1)
 
 
-def signatures(items: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Digests of the parts of a set. Empty parts count only beyond the spare ones, which two linked sets can do without."""
+def _add_packed(total: np.ndarray, row: bytes) -> None:
+    if row[:1] == b"z":
+        total += np.frombuffer(zlib.decompress(row[1:]), np.uint32)
+    else:
+        n = (len(row) - 1) // 6
+        total[np.frombuffer(row, np.uint16, n, 1)] += np.frombuffer(row[1 + 2 * n :], np.uint32)
+
+
+def _counted(k: int):
+    """One sketch for each task: (chunk, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, shift, one = np.zeros(1 << SKETCH_BITS, np.uint32), np.uint64(64 - SKETCH_BITS), np.uint32(1)
+        for batch in batches:
+            for text in _texts(batch):
+                np.add.at(counts, (shingle_set(text, k) >> shift).astype(np.int64), one)
+        rows = [(i, _packed(part)) for i, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)) if part.any()]
+        yield pa.record_batch([pa.array([i for i, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            _add_packed(totals.setdefault(i, np.zeros(1 << CHUNK_BITS, np.uint64)), row)
+    levels = [np.minimum(63, 2 * np.log2(t + 1.0)).astype(np.uint8).tobytes() for t in totals.values()]
+    yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], ["chunk", "levels"])
+
+
+def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
+    """The frequency level (0 to 63, two for each doubling) of every counter, over the shingles of all documents."""
+    parts = docs.select("text").mapInArrow(_counted(k), "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, levels binary")
+    levels = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    for row in parts.toArrow().to_pylist():  # 2**SKETCH_BITS bytes in all
+        levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
+
+
+def ordered(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Tokens whose numeric order is the global order of shingles: six bits of level, then the hash."""
+    level = levels[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    return level << np.uint64(58) | items >> np.uint64(6)
+
+
+def head(items: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 tokens of a set: two sets of similarity t or more share one."""
     n = len(items)
     if not n:
         return items
-    schemes = _schemes(num, den, 1 << max(10, n.bit_length()))
-    own = bisect_left(schemes, n, key=lambda s: s[1])
-    mixed, out = mix(items + np.uint64(0x51ED270B)), []
-    for i in (own - 1, own):
-        if i < 0 or not schemes[i][2]:
-            continue
-        low, _, parts, spare = schemes[i]
-        part = (items % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, mixed)
-        held = np.bincount(part, minlength=parts)
-        at = np.flatnonzero(held) if parts - np.count_nonzero(held) <= spare else np.arange(parts)
-        out.append(mix(total[at] ^ mix(at.astype(np.uint64) + np.uint64(low << 32))))
-    return np.concatenate(out) if out else items[:0]
-
-
-def _signed(k: int, num: int, den: int):
+    tokens, most = ordered(items, levels), n + num * n // -den + 1
+    return tokens if most >= n else np.partition(tokens, most - 1)[:most]
+
+
+def _headed(levels, k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, heads = [], [], [], []
+            sizes, keys, heads = [], [], []
             for text in _texts(batch):
                 items = shingle_set(text, k)
-                a, b = digest(items)
                 sizes.append(len(items))
-                one.append(a)
-                two.append(b)
-                heads.append(signatures(items, num, den).view(np.int64))
+                keys.append(digest(items)[0] if len(items) else None)
+                heads.append(head(items, levels.value, num, den).view(np.int64))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))], ["doc_id", "n", "h1", "h2", "head"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))], ["doc_id", "n", "key", "head"])
 
     return run
 
 
 def _shared(bits):
-    """(token, id, n) of the signatures that the filter lets pass."""
+    """(token, key, n) of the tokens that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
         for batch in batches:
-            head = batch.column(2)
-            tokens, rows = head.flatten().to_numpy(), head.value_parent_indices().to_numpy()
+            heads = batch.column(2)
+            tokens, rows = heads.flatten().to_numpy(), heads.value_parent_indices().to_numpy()
             at = tokens & ((1 << FILTER_BITS) - 1)
             kept = np.flatnonzero(words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             rows = pa.array(rows[kept])
-            yield pa.record_batch([pa.array(tokens[kept]), batch.column(0).take(rows), batch.column(1).take(rows)], ["token", "id", "n"])
+            yield pa.record_batch([pa.array(tokens[kept]), batch.column(0).take(rows), batch.column(1).take(rows)], ["token", "key", "n"])
 
     return run
 
 
 def _groups(heads: DataFrame) -> DataFrame:
-    """(token, id, n) of the signatures that two or more sets share. heads: (id, n, head), a row for each set."""
+    """(token, key, n) of the tokens that two or more sets share. heads: (key, n, head); equal sets may repeat."""
     spark = heads.sparkSession
-    many = materialize(heads.select(F.explode("head").alias("token"), "id").groupBy("token").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("token"))
+    many = materialize(heads.select(F.explode("head").alias("token"), "key").groupBy("token").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p < q").select("token"))
     slot = F.col("token").bitwiseAND((1 << FILTER_BITS) - 1)
     words = many.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast((token & 63) as int))")).alias("bits")).toArrow()  # at most 2**FILTER_BITS / 64 rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return heads.mapInArrow(_shared(spark.sparkContext.broadcast(bits)), "token long, id long, n long").join(many, "token", "left_semi")
+    passed = heads.mapInArrow(_shared(spark.sparkContext.broadcast(bits)), "token long, key long, n long")
+    return passed.dropDuplicates(["token", "key"]).join(many, "token", "left_semi")
 
 
 class _Families:
@@ -128,19 +160,19 @@ class _Families:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.tries = num, den, []
 
-    def links(self, items: np.ndarray) -> list[tuple[int, object]]:
+    def links(self, ranks: np.ndarray, n: int) -> list[tuple[int, object]]:
         """(number of the family, one of its sets that is similar enough)."""
         out = []
         for f, tries in enumerate(self.tries):
             for trie in tries:
-                if found := trie.search(items, first=True):
+                if found := trie.search(ranks, n, first=True):
                     out.append((f, found[0][0]))
                     break
         return out
 
-    def add(self, key, items: np.ndarray) -> list:
+    def add(self, key, ranks: np.ndarray) -> list:
         """Adds a set; its links to the families so far, which it joins into one."""
-        found = self.links(items)
+        found = self.links(ranks, len(ranks))
         if not found:
             self.tries.append([SetTrie(self.num, self.den)])
             home = self.tries[-1]
@@ -149,104 +181,132 @@ class _Families:
             home = max((self.tries[f] for f in joined), key=lambda t: max(len(x.size) for x in t))
             home += [t for f in joined if self.tries[f] is not home for t in self.tries[f]]
             self.tries = [t for f, t in enumerate(self.tries) if f not in joined or t is home]
-        home[0].add(key, items)
+        home[0].add(key, ranks)
         return [other for _, other in found]
 
 
-def _blocks(k: int, num: int, den: int, spanning: bool):
-    """Rows sorted by block, index rows (kind 0) before searching ones: (searcher, found, overlap, sizes)."""
+def _blocks(k: int, num: int, den: int):
+    """Rows sorted by block, index rows (kind 0) before searching ones: (a, b), links among the index and from searchers to it."""
+
+    class Block:
+        def __init__(self):
+            self.waiting, self.names, self.families = [], Vocabulary([]), _Families(num, den)
+
+        def close(self) -> list[tuple]:
+            """Takes up the sets of the index, in the order of the shingles' frequency among them."""
+            self.names = Vocabulary([items for _, items in self.waiting])
+            out = [(key, other) for key, items in self.waiting for other in self.families.add(key, self.names.ranks(items))]
+            self.waiting = []
+            return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        now, last, held, out = None, None, Block(), []
         for batch in batches:
-            out: list[tuple] = []
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for b, salt, kind, key, text in zip(*cols, _texts(batch), strict=True):
                 if (b, salt) != now:
-                    now, held = (b, salt), _Families(num, den) if spanning else SetTrie(num, den)
+                    out += held.close()
+                    now, held = (b, salt), Block()
+                if (now, kind, key) == last:
+                    continue  # a repeated row
+                last = (now, kind, key)
                 items = shingle_set(text, k)
-                if spanning:
-                    out += [(key, other, 0, 0, 0) for other in (held.add(key, items) if kind == 0 else [x for _, x in held.links(items)]) if other != key]
-                elif kind == 0:
-                    held.add(key, items)
+                if kind == 0:
+                    held.waiting.append((key, items))
                 else:
-                    out += [(key, other, overlap, len(items), held.size[other]) for other, overlap in held.search(items) if other != key]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["a", "b", "overlap", "na", "nb"])
+                    if held.waiting:
+                        out += held.close()
+                    out += [(key, other) for _, other in held.families.links(held.names.ranks(items), len(items)) if other != key]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], ["a", "b"])
+            out = []
+        out = held.close()
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], ["a", "b"])
 
     return run
 
 
-def trie_join(docs: DataFrame, index: DataFrame, probe: DataFrame, k: int, num: int, den: int, spanning: bool = False) -> DataFrame:
-    """(a, b, overlap, na, nb) with a in probe, b in index, of one block, Jaccard of num/den or more.
+def trie_join(texts: DataFrame, index: DataFrame, probe: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of Jaccard num/den or more: links that connect the index of a block as all its links would, and for each
+    searching set one link to every component that the block's index forms.
 
-    index and probe: (block, id). A block with many searching ids is split into shares, each with the whole index of the
-    block; callers keep that index small (BLOCK). spanning: links among the index too, and for each a one b of each
-    component that the block's index forms; sizes are then 0.
+    texts: (key, text); index and probe: (block, key). A block with many searching sets is split into shares, each with the
+    whole index of the block; callers keep that index small (BLOCK).
     """
-    shares = probe.groupBy("block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    left = index.join(shares, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"), "id")
-    right = probe.join(shares, "block").select("block", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id")
-    rows = materialize(left.unionByName(right))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(sized(rows), "id")
-    dealt = texts.select("block", "salt", "kind", "id", "text").repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "id")
-    return dealt.mapInArrow(_blocks(k, num, den, spanning), "a long, b long, overlap long, na long, nb long")
-
-
-def _links(docs: DataFrame, posts: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Links (a, b) that connect all sets which chains of similar ones connect. posts: (token, id, n), see _groups()."""
-    links: DataFrame | None = None
-    rim = max(1, 2 * num - den)  # the similarity at twice the distance
-
-    def add(new: DataFrame) -> None:
-        nonlocal links
-        new = materialize(new)
-        links = new if links is None else links.unionByName(new)
-
-    def pivoted(df: DataFrame) -> DataFrame:
-        many = df.groupBy("token").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("q")).where("p.id < q")
-        return materialize(df.join(many, "token").select("token", "id", "n", F.col("p.id").alias("p"), F.col("p.n").alias("pn")))
-
-    active = pivoted(posts)
-    while True:
-        parts = materialize(connected_components(active.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b"))))
-        sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        whole = parts.join(sizes.where(F.col("size") <= BLOCK * BLOCKS), "component").select("component", F.col("node").alias("id"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-        name = lambda i: F.xxhash64("component", i).alias("block")
-        index = whole.select(name(F.col("own")), "id")
-        probe = whole.where("own > 0").select("component", "id", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i")).select(name(F.col("i")), "id")
-        add(trie_join(docs, index, probe, k, num, den, spanning=True).select("a", "b"))
-        large = materialize(active.join(parts.join(sizes.where(F.col("size") > BLOCK * BLOCKS), "component").select(F.col("node").alias("id")), "id", "left_semi"))
-        drop(active, parts)
-        if large.isEmpty():
-            drop(large)
-            return links
-        pairs = materialize(large.where("id <> p").where(F.least("n", "pn") * den >= F.greatest("n", "pn") * rim).select(F.col("p").alias("block"), "id").distinct())
-        found = materialize(trie_join(docs, pairs.select("block", F.col("block").alias("id")).distinct(), pairs, k, rim, den).withColumn("near", F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num))
-        joined = found.where("near")
-        add(joined.select("a", "b"))
-        if not found.where("not near").isEmpty():
-            # the rim of a pivot searches blocks of the sets joined to it
-            rims = found.where("not near").select(F.col("b").alias("p"), F.col("a").alias("id"))
-            sizes = joined.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("b", "p")
-            index = joined.withColumnRenamed("b", "p").join(sizes, "p").select(F.xxhash64("p", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"), F.col("a").alias("id"))
-            probe = rims.join(sizes, "p").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "p", "id").select(F.xxhash64("p", "i").alias("block"), "id")
-            add(trie_join(docs, index, probe, k, num, den, spanning=True).select("a", "b"))
-        rest = large.where("id <> p").join(joined.select(F.col("a").alias("id"), F.col("b").alias("p")), ["id", "p"], "left_anti")
-        active = pivoted(rest.select("token", "id", "n"))
-        drop(large, pairs)
+    if probe is None:
+        rows = index.select("block", F.lit(0).alias("salt"), F.lit(0).alias("kind"), "key")
+    else:
+        shares = materialize(probe.groupBy("block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")))
+        left = index.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("kind"), "key")
+        rows = left.unionByName(probe.join(shares, "block").select("block", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since searches cost far more than their bytes say
+    dealt = texts.join(sized(materialize(rows)), "key").select("block", "salt", "kind", "key", "text").repartition(tasks, "block", "salt").sortWithinPartitions("block", "salt", "kind", "key")
+    return dealt.mapInArrow(_blocks(k, num, den), "a long, b long")
+
+
+def _homes(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, key) of the two home groups of every set, and of the first alone. posts: (token, key, n)."""
+    ends = posts.groupBy("key").agg(F.max("token").alias("first"), F.min("token").alias("second"), F.first("n").alias("n"))
+    both = materialize(ends.select("key", "n", F.explode(F.array(F.struct(F.col("first").alias("token"), F.lit(0).alias("which")), F.struct(F.col("second").alias("token"), F.lit(1).alias("which")))).alias("h")).select("h.token", "h.which", "key", "n"))
+    cut = materialize(both.groupBy("token").agg(F.min("key").alias("pivot"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SIZE))).cast("int").alias("cuts")))
+    block = F.xxhash64("token", F.pmod(F.xxhash64("key"), F.col("cuts")))
+    own = materialize(both.join(sized(cut), "token").select("which", block.alias("block"), "key"))
+    pivots = cut.where("cuts > 1").select("token", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - F.lit(1).cast("long"))).alias("i")).select(F.xxhash64("token", "i").alias("block"), F.col("pivot").alias("key"))
+    return own.select("block", "key").unionByName(pivots).distinct(), own.where("which = 0").select("block", "key")
+
+
+def _rest(posts: DataFrame, home: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, key): the searches that sets of different labels still need, one for each set and block."""
+    known = home.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "block", F.coalesce("component", "key").alias("label"))
+    rows = materialize(posts.join(sized(materialize(known)), "key"))
+    count = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = materialize(count.groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", "main"))
+    rows = rows.join(sized(mixed), "token")
+    stats = (F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.col("label") == F.col("main")).alias("has_main"))
+    blocks = rows.groupBy("token", F.col("block").alias("other")).agg(*stats)
+    fits = (F.col("n") * den >= F.col("small") * num) & (F.col("large") * den >= F.col("n") * num)
+    new = (F.col("block") != F.col("other")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (F.col("has_main") | (F.col("block") < F.col("other")))
+    return materialize(rows.where("label <> main").join(blocks, "token").where(fits & new).select(F.col("other").alias("block"), "key").distinct())
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; linked at Jaccard num/den or more of k-word shingle sets."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(docs.mapInArrow(_signed(k, num, den), "doc_id long, n long, h1 long, h2 long, head array<long>"))
-    classes = materialize(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id")).where("id is not null"))
-    heads = sets.where(F.size("head") > 0).withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "head")
-    labels = connected_components(_links(docs, _groups(heads), k, num, den))
-    named = materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")))
-    return sets.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
+    sets = materialize(docs.mapInArrow(_headed(levels, k, num, den), "doc_id long, n long, key long, head array<long>"))
+    classes = materialize(sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
+    posts = materialize(_groups(sets.where("key is not null and doc_id is not null").select("key", "n", "head")))
+
+    wanted = materialize(classes.join(posts.select("key").distinct(), "key", "left_semi").withColumnRenamed("id", "doc_id"))
+    texts = materialize(docs.join(sized(wanted), "doc_id").select("key", "text").mapInArrow(_of_key(k), "key long, text string"))
+    index, home = _homes(posts)
+    links = materialize(trie_join(texts, index, None, k, num, den))
+
+    repeated = sets.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
+    links = links.unionByName(materialize(sets.join(sized(materialize(repeated)), "doc_id").select("a", F.col("key").alias("b")).where("a <> b").distinct()))
+    labels = materialize(connected_components(links))
+    probe = _rest(posts, home, labels, num, den)
+    if not probe.isEmpty():
+        found = materialize(trie_join(texts, home.join(sized(materialize(probe.select("block").distinct())), "block", "left_semi"), probe, k, num, den))
+        if not found.isEmpty():
+            labels = materialize(connected_components(links.unionByName(found)))
+    names = labels.withColumnRenamed("node", "key").join(classes, "key")
+    named = materialize(names.join(names.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("key", "component_id"))
+    every = materialize(classes.join(sized(named), "key", "left").select("key", F.coalesce("component_id", "id").alias("component_id")))
+    out = sets.select("doc_id", "n", "key").join(sized(every), "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _of_key(k: int):
+    """The rows whose text has the set of their key: rows of one doc_id may have different texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            yield batch.filter(pa.array([digest(shingle_set(t, k))[0] == key for key, t in zip(keys, _texts(batch), strict=True)], pa.bool_()))
+
+    return run
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A path-compressed trie of sorted hash sets with a similarity search that shares partial overlaps.
 
-Sets are stored in one global order (ascending hash), so sets that begin alike share a path and the overlap along it is
-computed once for a probe. A subtree is left as soon as the overlap so far, plus the most that the remaining lengths of
+Sets are stored in one order for all of a trie, so sets that begin alike share a path and the overlap along it is
+computed once for a probe. Ordered by frequency among them (Vocabulary), sets that share much share long paths. A subtree is left as soon as the overlap so far, plus the most that the remaining lengths of
 probe and subtree allow, is less than the similarity needs.
 """
 
@@ -12,6 +12,23 @@ import numpy as np
 _STEP = 256
 
 
+class Vocabulary:
+    """The order of the items of some sets: frequent ones first, ties by hash. An item's rank is its place in the order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate([np.empty(0, np.uint64), *sets])
+        self.items, count = np.unique(every, return_counts=True)
+        self.rank = np.empty(len(count), np.int64)
+        self.rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+
+    def ranks(self, items: np.ndarray) -> np.ndarray:
+        """Ascending ranks of the items that are in the vocabulary."""
+        if not len(self.items):
+            return np.empty(0, np.int64)
+        at = np.minimum(self.items.searchsorted(items), len(self.items) - 1)
+        return np.sort(self.rank[at[self.items[at] == items]])
+
+
 class _Node:
     __slots__ = ("ends", "kids", "rest", "seg", "small")
 
@@ -23,7 +40,7 @@ class SetTrie:
     """num/den: the least Jaccard similarity. Empty sets are stored nowhere and match nothing."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.root, self.size = num, den, _Node(np.empty(0, np.uint64)), {}
+        self.num, self.den, self.root, self.size = num, den, _Node(np.empty(0, np.int64)), {}
 
     def add(self, key, items: np.ndarray) -> None:
         if not len(items):
@@ -53,11 +70,15 @@ class SetTrie:
                 node.kids[head] = kid = upper
             node, at = kid, at + same
 
-    def search(self, items: np.ndarray, first: bool = False) -> list[tuple[object, int]]:
-        """(key, overlap) of the stored sets that are similar enough; with first, one of them at most."""
+    def search(self, items: np.ndarray, n: int | None = None, first: bool = False) -> list[tuple[object, int]]:
+        """(key, overlap) of the stored sets that are similar enough; with first, one of them at most.
+
+        n: the size of the searching set, where items are only those of it that the stored sets can hold.
+        """
         found: list[tuple[object, int]] = []
-        n = len(items)
-        if not n:
+        most = len(items)
+        n = most if n is None else n
+        if not most:
             return found
         num, both = self.num, self.num + self.den
         todo = [(self.root, 0, 0)]
@@ -68,10 +89,10 @@ class SetTrie:
             for s in range(0, len(seg), _STEP):
                 part = seg[s : s + _STEP]
                 where = items.searchsorted(part)
-                inside = where < n
+                inside = where < most
                 overlap += int(np.count_nonzero(items[where[inside]] == part[inside]))
                 at = int(items.searchsorted(part[-1], "right"))
-                if overlap + min(n - at, len(seg) - s - len(part) + node.rest) < need:
+                if overlap + min(most - at, len(seg) - s - len(part) + node.rest) < need:
                     lost = True
                     break
             if lost:

@@ -107,33 +107,65 @@ def test_trie_equals_brute_force():
             assert {i for i, _ in trie.search(x)} == want
 
 
-def test_linked_sets_share_a_signature():
-    r = np.random.default_rng(1)
+def test_linked_sets_share_a_head_token():
+    r = np.random.default_rng(7)
+    levels = r.integers(0, 20, 1 << op01_ngram_join.SKETCH_BITS).astype(np.uint8)
     for num in (90, 80):
         for _ in range(3000):
             n = int(r.integers(1, 400))
-            base = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            base = r.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
             cut, more = (int(r.integers(0, max(1, n // 6) + 1)) for _ in range(2))
             x, y = np.unique(base[:n]), np.unique(np.concatenate([base[cut:n], base[n : n + more]]))
             i = len(np.intersect1d(x, y))
-            u = len(x) + len(y) - i
-            if 100 * i >= num * u and i < u:
-                assert len(np.intersect1d(op01_ngram_join.signatures(x, num, 100), op01_ngram_join.signatures(y, num, 100)))
-
-
-@pytest.mark.parametrize("k,num,blocks", [(3, 90, None), (5, 80, None), (3, 90, (8, 2)), (3, 80, (4, 1))])
-def test_ngram_components(spark, monkeypatch, k, num, blocks):
-    """blocks: small enough that components take several blocks, or pivots and their rims."""
-    if blocks:
-        monkeypatch.setattr(op01_ngram_join, "BLOCK", blocks[0])
-        monkeypatch.setattr(op01_ngram_join, "BLOCKS", blocks[1])
+            if 100 * i >= num * (len(x) + len(y) - i):
+                one, two = (op01_ngram_join.head(s, levels, num, 100) for s in (x, y))
+                assert len(one) == len(x) - -(-num * len(x) // 100) + 1 and len(np.intersect1d(one, two))
+
+
+def test_sketch_rows_add_up():
+    r = np.random.default_rng(3)
+    total, want = np.zeros(1 << op01_ngram_join.CHUNK_BITS, np.uint64), np.zeros(1 << op01_ngram_join.CHUNK_BITS, np.uint64)
+    for filled in (0.001, 0.5, 0.05, 1):
+        counts = (r.integers(0, 1 << 32, len(total), dtype=np.uint32) * (r.random(len(total)) < filled)).astype(np.uint32)
+        op01_ngram_join._add_packed(total, op01_ngram_join._packed(counts))
+        want += counts
+    assert (total == want).all()
+
+
+@pytest.mark.parametrize("k,num,block", [(3, 90, None), (5, 80, 8), (3, 80, 4)])
+def test_ngram_components(spark, monkeypatch, k, num, block):
+    """block: small enough that groups take several blocks, and sets search the blocks of others."""
+    if block:
+        monkeypatch.setattr(op01_ngram_join, "BLOCK", block)
     docs = near_copies(k + num, 6, 30, 5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op01_ngram_join.ngram_components(df, k, num, 100).collect()}
     assert got == brute_components(docs, k, num)
 
 
-def test_connected_components(spark):
+def test_ngram_jobs_do_not_grow_with_unlike_sets_that_share_words(spark, monkeypatch):
+    """Sets of one phrase and words of their own, some of them alike: groups of many unlike sets."""
+    monkeypatch.setattr(op01_ngram_join, "BLOCK", 8)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for size in (40, 160):
+        r = random.Random(size)
+        docs = [(i, " ".join(["one two three four five six seven"] + [str(r.randrange(9)) for _ in range(3)])) for i in range(size)]
+        before = len(tracker.getJobIdsForGroup(None))
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in op01_ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 60, 100).collect()}
+        assert got == brute_components(docs, 3, 60)
+        jobs.append(len(tracker.getJobIdsForGroup(None)) - before)
+    assert jobs[1] <= 2 * jobs[0] + 20
+
+
+def test_ngram_ids_of_several_texts_and_null_ids(spark):
+    rows = [(1, "a b c d e f"), (2, "p q r s t u"), (5, "a b c d e f"), (5, "p q r s t u"), (7, "x y z x y z w"), (None, "x y z x y z w"), (None, "alone in the world"), (9, "k"), (9, "k")]
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in op01_ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    assert got == [(0, 2, 0), (0, 4, 7), (1, 4, 1), (2, 4, 1), (5, 4, 1), (5, 4, 1), (7, 4, 7), (9, 1, 9), (9, 1, 9)]
+
+
+@pytest.mark.parametrize("one_task", [0, common.ONE_TASK])
+def test_connected_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)]
     got = {x.node: x.component for x in common.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
