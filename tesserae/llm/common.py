@@ -44,7 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -5,14 +5,16 @@
    sketch make a shingle look more frequent than it is; that moves it in the order, which changes cost and never a result.
 2. Tokens. With that order, two sets that may be linked share one of their first n - ceil(t n) + 1 shingles. Sets that
    share such a token are a group; a token that only one set has is dropped. Nothing is estimated here.
-3. Blocks. Every set has two home groups, those of its most and its least frequent shared token. A home group is cut into blocks of up
-   to BLOCK sets and BLOCK_SIZE shingles; the set of the smallest key visits all blocks of its group, so that a family of
-   copies is joined across blocks. A block orders its shingles by their frequency in it and keeps tries of its sets (see
-   trie.py), one for each family that its links form, so a set that is like a family stops at the first link to it.
+3. Blocks. The home group of a set is that of its most frequent shared token, cut into blocks of up to BLOCK sets and
+   BLOCK_SIZE shingles; the set of the smallest key visits all blocks of its group, so that a family of copies is joined
+   across blocks. Sets that share too few tokens with their block for any link are left out (_enough). A block orders its
+   shingles by their frequency in it and keeps tries of its sets (see trie.py), one for each family that its links form,
+   so a set that is like a family stops at the first link to it.
 4. The rest. Components of the links so far are labelled. Where the sets of a group have different labels, those that
-   aren't of the group's commonest label search each block that a set of another label and of a fitting size is at home in.
-   So a link is missed by neither step: its two sets share a group, and either have one label, one block, or one searches
-   the block of the other. Steps 3 and 4 run once each; the number of jobs doesn't depend on what the groups hold.
+   aren't of the group's commonest label search each block that a set of another label and of a fitting size is at home
+   in, if they share enough tokens with it. So a link is missed by neither step: its two sets share a group, and either
+   have one label, one block, or one searches the block of the other. Steps 3 and 4 run once each; the number of jobs
+   doesn't depend on what the groups hold.
 
 Sets are named by a digest of theirs, so equal sets are one set and copies cost nothing after step 2.
 
@@ -31,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import connected_components, materialize, sized, small_batches, table
+from .common import connected_components, drop, materialize, sized, small_batches, table
 from .shingles import digest, shingle_set
 from .trie import SetTrie, Vocabulary
 
@@ -143,9 +146,11 @@ def _shared(bits):
 
 
 def _groups(heads: DataFrame) -> DataFrame:
-    """(token, key, n) of the tokens that two or more sets share. heads: (key, n, head); equal sets may repeat."""
+    """(token, key, n) of the tokens that two or more sets share. heads: (key, n, head), a row for each set.
+
+    A row that is there twice makes its tokens look shared, which costs and changes nothing."""
     spark = heads.sparkSession
-    many = materialize(heads.select(F.explode("head").alias("token"), "key").groupBy("token").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p < q").select("token"))
+    many = materialize(heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
     slot = F.col("token").bitwiseAND((1 << FILTER_BITS) - 1)
     words = many.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast((token & 63) as int))")).alias("bits")).toArrow()  # at most 2**FILTER_BITS / 64 rows
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -209,8 +214,10 @@ def _blocks(k: int, num: int, den: int):
                     now, held = (b, salt), Block()
                 if (now, kind, key) == last:
                     continue  # a repeated row
-                last = (now, kind, key)
                 items = shingle_set(text, k)
+                if not len(items) or digest(items)[0] != key:
+                    continue  # another text of the same doc_id
+                last = (now, kind, key)
                 if kind == 0:
                     held.waiting.append((key, items))
                 else:
@@ -225,33 +232,58 @@ def _blocks(k: int, num: int, den: int):
     return run
 
 
-def trie_join(texts: DataFrame, index: DataFrame, probe: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
+def trie_join(docs: DataFrame, classes: DataFrame, index: DataFrame, probe: DataFrame | None, k: int, num: int, den: int) -> DataFrame:
     """(a, b) of Jaccard num/den or more: links that connect the index of a block as all its links would, and for each
     searching set one link to every component that the block's index forms.
 
-    texts: (key, text); index and probe: (block, key). A block with many searching sets is split into shares, each with the
-    whole index of the block; callers keep that index small (BLOCK).
+    classes: (key, id), a document of each set; index and probe: (block, key). A block with many searching sets is split
+    into shares, each with the whole index of the block; callers keep that index small (BLOCK).
     """
     if probe is None:
         rows = index.select("block", F.lit(0).alias("salt"), F.lit(0).alias("kind"), "key")
     else:
         shares = materialize(probe.groupBy("block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")))
-        left = index.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("kind"), "key")
-        rows = left.unionByName(probe.join(shares, "block").select("block", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key"))
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since searches cost far more than their bytes say
-    dealt = texts.join(sized(materialize(rows)), "key").select("block", "salt", "kind", "key", "text").repartition(tasks, "block", "salt").sortWithinPartitions("block", "salt", "kind", "key")
+        left = index.join(sized(shares), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("kind"), "key")
+        rows = left.unionByName(probe.join(sized(shares), "block").select("block", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("salt"), F.lit(1).alias("kind"), "key"))
+    rows = materialize(rows.join(classes.select("key", F.col("id").alias("doc_id")), "key"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since searches cost far more than their bytes say
+    dealt = docs.join(sized(rows), "doc_id").select("block", "salt", "kind", "key", "text").repartition(tasks, "block", "salt").sortWithinPartitions("block", "salt", "kind", "key")
     return dealt.mapInArrow(_blocks(k, num, den), "a long, b long")
 
 
 def _homes(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, key) of the two home groups of every set, and of the first alone. posts: (token, key, n)."""
-    ends = posts.groupBy("key").agg(F.max("token").alias("first"), F.min("token").alias("second"), F.first("n").alias("n"))
-    both = materialize(ends.select("key", "n", F.explode(F.array(F.struct(F.col("first").alias("token"), F.lit(0).alias("which")), F.struct(F.col("second").alias("token"), F.lit(1).alias("which")))).alias("h")).select("h.token", "h.which", "key", "n"))
-    cut = materialize(both.groupBy("token").agg(F.min("key").alias("pivot"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SIZE))).cast("int").alias("cuts")))
-    block = F.xxhash64("token", F.pmod(F.xxhash64("key"), F.col("cuts")))
-    own = materialize(both.join(sized(cut), "token").select("which", block.alias("block"), "key"))
-    pivots = cut.where("cuts > 1").select("token", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - F.lit(1).cast("long"))).alias("i")).select(F.xxhash64("token", "i").alias("block"), F.col("pivot").alias("key"))
-    return own.select("block", "key").unionByName(pivots).distinct(), own.where("which = 0").select("block", "key")
+    """(block, key, n) of all sets, and of those that have others in their block besides the pivot's visits. posts: (token, key, n)."""
+    homes = materialize(posts.groupBy("key").agg(F.max("token").alias("token"), F.first("n").alias("n")))
+    cuts = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SIZE))).alias("cuts")
+    cut = materialize(homes.groupBy("token").agg(F.min(F.struct("key", "n")).alias("pivot"), F.count("*").alias("size"), cuts).where("size > 1"))
+    own = homes.join(sized(cut).select("token", "cuts"), "token", "left")
+    home = materialize(own.select(F.xxhash64("token", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))).alias("block"), "key", "n", F.col("cuts").isNotNull().alias("shared")))
+    pivots = cut.where("cuts > 1").select("token", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("i")).select(F.xxhash64("token", "i").alias("block"), "pivot.key", "pivot.n")
+    return home.drop("shared"), materialize(home.where("shared").drop("shared").unionByName(pivots).distinct())
+
+
+def _enough(num: int, den: int):
+    """Whether c common tokens of two heads allow a link of a set of n to one of `small` to `large` shingles.
+
+    Of two sets x and y, let the head of z end first in the order. What they share up to there is in both heads; beyond, z
+    has ceil(t |z|) - 1 shingles. So c >= t / (1 + t) (|x| + |y|) - t max(|x|, |y|), least at an end of the range of |y|.
+    """
+
+    def short(size):
+        near = F.least(F.greatest(size, F.ceil(F.col("n") * num / den)), F.floor(F.col("n") * den / num))
+        return (F.col("n") + near) * (num * den) - F.greatest(F.col("n"), near) * (num * (num + den))
+
+    return F.col("c") * ((num + den) * den) >= F.least(short(F.col("small")), short(F.col("large")))
+
+
+def _likely(index: DataFrame, posts: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, key): the sets of an index that share enough tokens with others of their block."""
+    rows = index.join(posts.select("key", "token"), "key").repartition("block")
+    met = rows.withColumn("met", F.count("*").over(W.Window.partitionBy("block", "token")) > 1)
+    sets = met.groupBy("block", "key").agg(F.first("n").alias("n"), F.count_if("met").alias("c"))
+    every = W.Window.partitionBy("block")
+    sets = sets.withColumn("small", F.min("n").over(every)).withColumn("large", F.max("n").over(every))
+    return sets.where("c > 0").where(_enough(num, den)).select("block", "key")
 
 
 def _rest(posts: DataFrame, home: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,12 +292,15 @@ def _rest(posts: DataFrame, home: DataFrame, labels: DataFrame, num: int, den: i
     rows = materialize(posts.join(sized(materialize(known)), "key"))
     count = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     mixed = materialize(count.groupBy("token").agg(F.max_by("label", "c").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", "main"))
-    rows = rows.join(sized(mixed), "token")
+    held = rows.join(sized(mixed), "token")
     stats = (F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.col("label") == F.col("main")).alias("has_main"))
-    blocks = rows.groupBy("token", F.col("block").alias("other")).agg(*stats)
+    blocks = held.groupBy("token", F.col("block").alias("other")).agg(*stats)
     fits = (F.col("n") * den >= F.col("small") * num) & (F.col("large") * den >= F.col("n") * num)
     new = (F.col("block") != F.col("other")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (F.col("has_main") | (F.col("block") < F.col("other")))
-    return materialize(rows.where("label <> main").join(blocks, "token").where(fits & new).select(F.col("other").alias("block"), "key").distinct())
+    asked = materialize(held.where("label <> main").join(blocks, "token").where(fits & new).select("other", "key").distinct())
+    common = asked.join(rows.select("key", "token", "n"), "key").join(rows.select("token", F.col("block").alias("other")).distinct(), ["token", "other"])
+    sizes = home.groupBy(F.col("block").alias("other")).agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    return materialize(common.groupBy("other", "key").agg(F.first("n").alias("n"), F.count("*").alias("c")).join(sizes, "other").where(_enough(num, den)).select(F.col("other").alias("block"), "key"))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -274,41 +309,33 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
-    sets = materialize(docs.mapInArrow(_headed(levels, k, num, den), "doc_id long, n long, key long, head array<long>"))
-    classes = materialize(sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id")))
-    posts = materialize(_groups(sets.where("key is not null and doc_id is not null").select("key", "n", "head")))
-
-    wanted = materialize(classes.join(posts.select("key").distinct(), "key", "left_semi").withColumnRenamed("id", "doc_id"))
-    texts = materialize(docs.join(sized(wanted), "doc_id").select("key", "text").mapInArrow(_of_key(k), "key long, text string"))
-    index, home = _homes(posts)
-    links = materialize(trie_join(texts, index, None, k, num, den))
-
-    repeated = sets.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a")
-    links = links.unionByName(materialize(sets.join(sized(materialize(repeated)), "doc_id").select("a", F.col("key").alias("b")).where("a <> b").distinct()))
+    headed = materialize(docs.mapInArrow(_headed(levels, k, num, den), "doc_id long, n long, key long, head array<long>"))
+    sets = materialize(headed.drop("head"))
+    named = sets.where("key is not null and doc_id is not null")
+    every = materialize(named.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    classes, copied = every.select("key", "id"), materialize(every.where("copies > 1").select("key", "id"))
+    heads = headed.where("key is not null and doc_id is not null").join(sized(copied), "key", "left").where("id is null or id = doc_id")
+    posts = materialize(_groups(heads.select("key", "n", "head")))
+    drop(headed, copied)
+
+    home, index = _homes(posts)
+    links = materialize(trie_join(docs, classes, _likely(index, posts, num, den), None, k, num, den))
+    repeated = materialize(named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("doc_id", "a"))
+    links = links.unionByName(materialize(named.join(sized(repeated), "doc_id").select("a", F.col("key").alias("b")).where("a <> b").distinct()))
     labels = materialize(connected_components(links))
     probe = _rest(posts, home, labels, num, den)
     if not probe.isEmpty():
-        found = materialize(trie_join(texts, home.join(sized(materialize(probe.select("block").distinct())), "block", "left_semi"), probe, k, num, den))
+        asked = materialize(probe.select("block").distinct())
+        found = materialize(trie_join(docs, classes, home.select("block", "key").join(sized(asked), "block", "left_semi"), probe, k, num, den))
         if not found.isEmpty():
             labels = materialize(connected_components(links.unionByName(found)))
     names = labels.withColumnRenamed("node", "key").join(classes, "key")
-    named = materialize(names.join(names.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("key", "component_id"))
-    every = materialize(classes.join(sized(named), "key", "left").select("key", F.coalesce("component_id", "id").alias("component_id")))
-    out = sets.select("doc_id", "n", "key").join(sized(every), "key", "left")
+    joined = materialize(names.join(names.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("key", "component_id"))
+    ends = materialize(classes.join(sized(joined), "key", "left").select("key", F.coalesce("component_id", "id").alias("component_id")))
+    out = sets.join(sized(ends), "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _of_key(k: int):
-    """The rows whose text has the set of their key: rows of one doc_id may have different texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            yield batch.filter(pa.array([digest(shingle_set(t, k))[0] == key for key, t in zip(keys, _texts(batch), strict=True)], pa.bool_()))
-
-    return run
-
-
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
