@@ -336,12 +336,48 @@ def test_pseudonyms(spark):
     assert rows[2].text == f"again {found['4845168114407329'][1]} on {found['1999-12-31'][1]}"
     assert rows[3].text is None and rows[4].text == ""
     days = spark.range(0, 73049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    assert op06_pii.pseudonymize(days).select("text").distinct().count() == 73049
+    assert op06_pii.pseudonymize(days, "k").select("text").distinct().count() == 73049
     cards = spark.range(0, 3000).select(F.concat(F.lit("411111111111"), F.lpad((F.col("id") * 7 % 10000).cast("string"), 4, "0")).alias("text")).where(F.call_function("luhn_check", F.col("text")))
-    out = op06_pii.pseudonymize(cards).where(F.call_function("luhn_check", F.col("text")))
+    out = op06_pii.pseudonymize(cards, "k").where(F.call_function("luhn_check", F.col("text")))
     assert out.select("text").distinct().count() == cards.distinct().count()
 
 
+def feistel_brute(values, bases, tweak):
+    half = len(values) // 2
+    left, right, bl, br = values[:half], values[half:], bases[:half], bases[half:]
+    for i in range(1, op06_pii.ROUNDS + 1):
+        h = hashlib.sha256(f"{tweak}:{i}:{','.join(map(str, right))}".encode()).hexdigest()
+        left, right, bl, br = right, [(x + int(h[j % 15 * 4 : j % 15 * 4 + 4], 16) + j // 15) % b for j, (x, b) in enumerate(zip(left, bl, strict=True))], br, bl
+    return left + right
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    r, rows = random.Random(2), []
+    for i in range(60):
+        rows.append((i, ".".join(str(r.randrange(256)) for _ in range(4))))
+    for i in range(60, 120):
+        rows.append((i, f"+1 {r.randrange(100, 1000)} {r.randrange(100, 1000)} {r.randrange(1000, 10000)}"))
+    got = {x.doc_id: x.text for x in op06_pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, t in rows:
+        if i < 60:
+            assert got[i] == ".".join(map(str, feistel_brute([int(x) for x in t.split(".")], [256] * 4, "k:ip")))
+        else:
+            put = iter(feistel_brute([int(c) for c in t[2:] if c != " "], [10] * 10, "k:phone:" + "10" * 10))
+            assert got[i] == "+1" + "".join(c if c == " " else str(next(put)) for c in t[2:])
+
+
+def test_pseudonyms_link_spellings_and_take_long_runs(spark):
+    texts = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "(555) 123-4567", "555.123.4567", "a.b@x.com", "A.B@x.com", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "078-05-1120", "000-05-1120"]
+    long = ["a@b" + ".c" * 30_000, "x" * 200_000, "1." * 100_000, "a" * 100_000 + "@", "." * 100_000 + "a@b.de."]
+    got = {x.doc_id: (x.text, [p.kind for p in x.pii]) for x in op06_pii.pseudonymize(spark.createDataFrame(list(enumerate(texts + long)), "doc_id long, text string"), "k").collect()}
+    plain = lambda i: re.sub("[^0-9A-Za-z]", "", got[i][0]).lower()
+    assert plain(0) == plain(1) == plain(2) != texts[0] and plain(3) == plain(4) and got[5][0].lower() == got[6][0].lower() and plain(7) == plain(8)
+    assert [got[i][1] for i in range(12)] == [["card"]] * 3 + [["phone"]] * 2 + [["email"]] * 2 + [["iban"]] * 2 + [[], ["ssn"], []]
+    moved = plain(7).upper()[4:] + plain(7).upper()[:4]
+    assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    assert got[12][1] == ["email"] and got[13] == (long[1], []) and got[14][0] == long[2] and got[15] == (long[3], []) and got[16][1] == ["email"]
+
+
 def test_quotations(spark):
     rows = [(1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> How are YOU?\nFine"), (1, 2, "u", "> Fine\n>> How are you?\nGood"), (1, 3, "u", "New topic"), (1, 4, "a", "> hello   there. how are you?\nBack"), (1, 5, "u", "> nowhere\nx"), (2, 0, "u", "Hello there."), (2, 1, "u", None), (None, 1, "u", "> q\nz"), (3, None, None, "x")]
     got = op07_quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -449,7 +485,7 @@ OPERATORS = {
     "op2": lambda d: op02_language_id.predict_language(d.select(F.col("doc_id"), "text"), op02_language_id.fit(d.select("doc_id", "lang", "text"))),
     "op3": lambda d: op03_packing.pack(d, op03_packing.vocabulary_files()),
     "op5": lambda d: op05_sentencepiece.sentencepiece_digests(d, __import__("public_tokenizers").path("piece_bpe_32k.model")),
-    "op6": lambda d: op06_pii.pseudonymize(d),
+    "op6": lambda d: op06_pii.pseudonymize(d, "k"),
     "op8": lambda d: op08_line_dedup.dedup_lines(d),
     "op9": lambda d: op09_quality.verdicts(d),
     "op10": lambda d: op10_secret_scans.redact(op10_secret_scans.secret_spans(d).join(d.select(F.col("doc_id").alias("i"), "text"), F.col("i") == F.col("doc_id"), "left")),
