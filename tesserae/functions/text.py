@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -135,3 +135,49 @@ def error_class(message: Column, status: Column) -> Column:
 def retry_delay(attempt: Column, base: float = 0.5, most: float = 32.0) -> Column:
     """Exponential delay without its jitter."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+
+
+#: Abbreviations that end no sentence.
+ABBREVIATIONS = ("e.g.", "i.e.", "vs.", "etc.", "U.S.", "U.K.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Fig.")
+
+
+def first_sentence(text: Column) -> Column:
+    """The text up to the first . ! or ? before white space that ends none of the abbreviations."""
+    hidden = F.trim(text)
+    for short in ABBREVIATIONS:
+        hidden = F.replace(hidden, F.lit(short), F.lit(short.replace(".", "\u0001")))
+    return F.replace(F.trim(F.get(F.split(hidden, r"(?<=[.!?])\s+"), F.lit(0))), F.lit("\u0001"), F.lit("."))
+
+
+def definition(doc: Column, kind: Column, file_path: Column) -> Column:
+    """A glossary definition: the first sentence, with a full stop if it has no mark, then kind and file in brackets."""
+    head = F.coalesce(first_sentence(doc), F.lit(""))
+    ended = F.when((head == "") | head.rlike("[.!?]$"), head).otherwise(F.concat(head, F.lit(".")))
+    return F.trim(F.concat(ended, F.lit(" ("), kind, F.lit(", "), file_path, F.lit(")")))
+
+
+def match_name(filename: Column) -> Column:
+    """A file name folded for comparison: lower case, & as and, other marks, spaces and - as one underscore."""
+    words = F.regexp_replace(F.replace(F.lower(filename), F.lit("&"), F.lit(" and ")), r"(?U)[^\w.\s-]", "_")
+    return F.regexp_replace(F.translate(words, "- ", "__"), "_+", "_")
+
+
+def safe_slug(raw: Column, index: Column) -> Column:
+    """a-z, 0-9 and single inner dashes of a title; part-<index> where none is left."""
+    kept = F.trim(F.regexp_replace(F.regexp_replace(F.lower(raw), "[^a-z0-9-]", ""), "-+", "-"), F.lit("-"))
+    return F.when(F.coalesce(kept, F.lit("")) == "", F.concat(F.lit("part-"), index.cast("string"))).otherwise(kept)
+
+
+def find_document(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (key, canonical, leaf) to files (name): the canonical name, else one folded alike, else one whose folded name ends
+    like the leaf's; null if there is none, the smallest name of several. Names by their suffixes are an equi-join: every
+    suffix of a folded name is a key, so no pairs are compared.
+    """
+    folded = files.where(F.col("name").endswith(".md")).select("name", match_name(F.col("name")).alias("f"))
+    exact = files.select(F.col("name").alias("canonical")).distinct().withColumn("exact", F.col("canonical"))
+    full = folded.groupBy("f").agg(F.min("name").alias("full"))
+    asked = wanted.select("key", "canonical", match_name(F.col("canonical")).alias("f"), match_name(F.col("leaf")).alias("tail"))
+    ends = folded.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("f")), lambda i: F.substring(F.col("f"), i, F.length("f")))).alias("tail"))
+    tails = ends.join(asked.select("tail").distinct(), "tail", "left_semi").groupBy("tail").agg(F.min("name").alias("suffix"))
+    out = asked.join(exact, "canonical", "left").join(full, "f", "left").join(tails, "tail", "left")
+    return out.select("key", F.coalesce("exact", "full", "suffix").alias("name"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("full").isNotNull(), "folded").when(F.col("suffix").isNotNull(), "suffix").otherwise("none").alias("how"))

@@ -550,3 +550,6 @@ def healed_names(s, d):
     k = F.col("p_partkey") % 3
     names = read(s, d, "part").select(F.when(k == 0, F.col("p_name")).when(k == 1, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.concat("p_name", F.lit("s"))).alias("name"))
     return C.heal_names(names, view(s, d, "v_component"))
+
+
+from . import packs  # noqa: E402, F401 - registers its queries beside these

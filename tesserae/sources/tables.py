@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "v_component": """SELECT p_partkey AS component_id, p_name AS name, concat(p_type, '/', p_brand) AS file_path, p_type AS top_dir, p_size,
  CASE WHEN p_size % 5 = 0 THEN 'class' WHEN p_size % 5 = 1 THEN 'method' ELSE 'function' END AS component_type FROM part""",
+    "v_part": "SELECT *, concat('M', p_size % 5) AS p_mfgr, concat('C', p_partkey % 40) AS p_container FROM part",
     "v_step": """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey AS from_id,
  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS to_id FROM lineitem""",
     "v_edge": """SELECT s.from_id, CASE WHEN p.p_size <= 45 THEN s.to_id END AS to_id, CASE WHEN p.p_size > 45 THEN p.p_name END AS to_unresolved,

@@ -229,3 +229,30 @@ def test_healing_compares_with_every_known_name(spark):
             s = [(-(1 - distance(n, k) / max(len(n), len(k), 1)), i) for i, k in enumerate(known)]
             best = min(x for x in s)
             assert got[n] == ((best[1], "similar") if -best[0] >= 0.85 else (None, "none")), n
+
+
+def test_first_sentence_keeps_abbreviations(spark):
+    from tesserae.functions.text import definition, first_sentence
+
+    texts = ["Use e.g. this one. Not that.", "Ask Dr. Who? Yes.", " One line", "", "See Fig. 3 vs. Fig. 4! Next", "a.b stays. c"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
+    got = {r.i: (r.s, r.d) for r in rows.select("i", first_sentence(F.col("t")).alias("s"), definition(F.col("t"), F.lit("class"), F.lit("a.py")).alias("d")).collect()}
+    assert [got[i][0] for i in range(6)] == ["Use e.g. this one.", "Ask Dr. Who?", "One line", "", "See Fig. 3 vs. Fig. 4!", "a.b stays."]
+    assert got[2][1] == "One line. (class, a.py)" and got[3][1] == got[9][1] == "(class, a.py)"
+
+
+def test_calls_prefer_file_and_class(spark):
+    from tesserae.operators.resolution import resolve_calls
+
+    fns = [("f1", "m.A.go", "go", "m", "A", 1), ("f2", "n.A.go", "go", "n", "A", 2), ("f3", "n.B.go", "go", "n", "B", 3), ("f4", "n.run", "run", "n", None, 4), ("f5", "k.run", "run", "k", "B", 5)]
+    functions = spark.createDataFrame(fns, "func_id string, component_id string, name string, file_path string, class_name string, ord int")
+    calls = spark.createDataFrame([("f5", "go"), ("f2", "go"), ("f4", "go"), ("zz", "go"), ("f1", "self.run"), ("f1", "n.B.go"), ("f1", "no.such"), ("f1", None)], "caller string, callee string")
+    got = {(r.caller, r.callee): (r.target, r.how) for r in resolve_calls(calls, functions).collect()}
+    assert got == {("f5", "go"): ("f3", "class"), ("f2", "go"): ("f2", "file_and_class"), ("f4", "go"): ("f2", "file"), ("zz", "go"): ("f1", "first"), ("f1", "self.run"): ("f4", "first"), ("f1", "n.B.go"): ("f3", "exact"), ("f1", "no.such"): (None, "unresolved"), ("f1", None): (None, "unresolved")}
+
+
+def test_path_tokens(spark):
+    from tesserae.operators.packs import path_tokens
+
+    rows = spark.createDataFrame([("src/My-Part_one.test.py",), ("a\\b/.env",), ("",)], "p string").select(path_tokens(F.col("p")).alias("t")).collect()
+    assert [sorted(r.t) for r in rows] == [["my", "one.test", "part"], [".env", "a", "b"], []]
