@@ -2,52 +2,112 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import IntegerType, LongType
 
 from ..runtime import written
+from ..shipping import ship
+
+
+#: Written rounds that a loop keeps side by side before it merges them.
+ROUNDS_APART = 16
+
+
+def _with(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """Rounds so far and a new one; merged now and then, so that neither plans nor rewrites grow with every round."""
+    parts = [*parts, new]
+    return parts if len(parts) <= ROUNDS_APART else [written(_all(parts))]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, distance): what each seed (node) reaches along edges, itself at 0. A frontier loop with an anti-join."""
-    seen = frontier = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct())
-    steps, depth = edges.select(F.col("src").alias("node"), "dst").distinct(), 0
+    frontier = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct())
+    steps, seen, depth = written(edges.select(F.col("src").alias("node"), "dst").distinct()), [frontier], 0
     while not frontier.isEmpty():
         depth += 1
-        new = frontier.join(steps, "node").select("seed", F.col("dst").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
+        new = frontier.join(steps, "node").select("seed", F.col("dst").alias("node")).distinct().join(_all(seen), ["seed", "node"], "left_anti")
         frontier = written(new.withColumn("distance", F.lit(depth)))
-        seen = written(seen.unionByName(frontier))
-    return seen
+        seen = _with(seen, frontier)
+    return _all(seen)
 
 
 def affected(deps: DataFrame, changed: DataFrame) -> DataFrame:
     """(node, distance): everything that depends on a changed node (node), with its least distance. deps: src depends on dst."""
-    seen = frontier = written(changed.select("node").distinct().withColumn("distance", F.lit(0)))
-    back, depth = deps.select(F.col("dst").alias("node"), "src").distinct(), 0
+    frontier = written(changed.select("node").distinct().withColumn("distance", F.lit(0)))
+    back, seen, depth = written(deps.select(F.col("dst").alias("node"), "src").distinct()), [frontier], 0
     while not frontier.isEmpty():
         depth += 1
-        frontier = written(frontier.join(back, "node").select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("distance", F.lit(depth)))
-        seen = written(seen.unionByName(frontier))
-    return seen
-
-
-def topological_levels(edges: DataFrame) -> DataFrame:
+        frontier = written(frontier.join(back, "node").select(F.col("src").alias("node")).distinct().join(_all(seen), "node", "left_anti").withColumn("distance", F.lit(depth)))
+        seen = _with(seen, frontier)
+    return _all(seen)
+
+
+def _levels_of_few(batches):
+    """(node, level) of all edges (src, dst) of one task: nodes leave in waves once all they depend on have left."""
+    tables = [pa.Table.from_batches([b]) for b in batches]
+    if not tables:
+        return
+    edges = pa.concat_tables(tables)
+    src, dst = edges.column("src").to_numpy(), edges.column("dst").to_numpy()
+    nodes, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    src, dst = place[: len(src)], place[len(src) :]
+    by_dst = np.argsort(dst, kind="stable")
+    users, starts = src[by_dst], np.searchsorted(dst[by_dst], np.arange(len(nodes) + 1))
+    waits, level = np.bincount(src, minlength=len(nodes)), np.full(len(nodes), -1)
+    free, depth = np.flatnonzero(waits == 0), 0
+    while len(free):
+        level[free] = depth
+        counts = starts[free + 1] - starts[free]
+        ends = np.cumsum(counts)
+        told = users[np.repeat(starts[free] - ends + counts, counts) + np.arange(counts.sum())]
+        np.subtract.at(waits, told, 1)
+        told = np.unique(told)
+        free, depth = told[waits[told] == 0], depth + 1
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(level, pa.int32(), mask=level < 0)], ["node", "level"])
+
+
+#: Edges that one task solves alone: 16 bytes each, some 200 MB with their orders.
+FEW_EDGES = 2_000_000
+
+
+def topological_levels(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, level): src depends on dst; level 0 has no dependency, others one more than their deepest. Nodes on or
-    behind a cycle get no level (null)."""
-    edges = written(edges.distinct())
+    behind a cycle get no level (null).
+
+    Rounds over all tasks cut one level after another until no more than `few` edges are left; one task levels those,
+    however deep they go. Nodes are whole numbers there; others, and few = 0, stay with the rounds.
+    """
+    edges = written(edges.select("src", "dst").distinct())
+    whole = all(isinstance(f.dataType, (LongType, IntegerType)) for f in edges.schema)
     left = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    done, level = None, 0
-    while True:
+    done, level = [], 0
+    while not (whole and edges.count() <= few):
         free = written(left.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        done = free if done is None else done.unionByName(free)
+        done = _with(done, free)
         left = written(left.join(free, "node", "left_anti"))
         edges = written(edges.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
         level += 1
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+    else:
+        kind = edges.schema["src"].dataType.simpleString()
+        ship(edges.sparkSession)
+        deep = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1).mapInArrow(_levels_of_few, "node long, level int")
+        # a node that is left without edges depends on none of those left
+        rest = left.join(deep.select(F.col("node").cast(kind), (F.col("level") + level).alias("level"), F.lit(True).alias("deep")), "node", "left")
+        rest = written(rest.select("node", F.when(F.col("deep"), F.col("level")).otherwise(level).alias("level")))
+        return _all([*done, rest])
+    return _all([*done, left.withColumn("level", F.lit(None).cast("int"))])
 
 
 def _trim(edges: DataFrame) -> DataFrame:

@@ -35,6 +35,22 @@ def test_chain_levels_dependencies_first(spark):
     assert {r.node: r.level for r in graph.topological_levels(cycle).collect()} == {"a": None, "b": None, "c": 1, "d": 0}
 
 
+def test_levels_are_the_same_in_one_task_and_in_rounds(spark):
+    pairs = [(i * 7 % 9 + 1, i * 7 % 9 - i % 3) for i in range(30)] + [(90, 91), (91, 90), (92, 91), (91, 93), (94, 94)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    alone = rows(graph.topological_levels(e), "node", "level")
+    assert alone == rows(graph.topological_levels(e, few=0), "node", "level") == rows(graph.topological_levels(e, few=15), "node", "level")
+    assert {n: x for n, x in alone if n > 89} == {90: None, 91: None, 92: None, 93: 0, 94: None}
+    assert graph.topological_levels(e.where("src < -99")).count() == 0
+
+
+def test_far_reach_merges_rounds(spark, monkeypatch):
+    chain = spark.range(5).selectExpr("id AS src", "id + 1 AS dst")
+    monkeypatch.setattr(graph, "ROUNDS_APART", 2)
+    got = graph.affected(chain, spark.createDataFrame([(5,)], "node long"))
+    assert rows(got, "node", "distance") == [(i, 5 - i) for i in range(6)]
+
+
 def test_strong_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (5, 7), (7, 7)], "src long, dst long")
     assert rows(graph.strong_components(e), "node", "component", "size") == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 2), (5, 4, 2)]
