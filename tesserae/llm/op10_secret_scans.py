@@ -40,16 +40,18 @@ class Rule:
     ignore_case: bool = False
     group: int = 0
     least: int = 0
+    #: A faster expression with the same matches of `least` characters or more, where there is one.
+    scan: str | None = None
 
     def compiled(self) -> re.Pattern:
-        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+        return re.compile(self.scan or self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
 #: The three base rules, then the further ones; spans that start together come in this order.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", False, 0, 20),
-    Rule("hex", r"[0-9a-f]+", False, 0, 24),
+    Rule("hex", r"[0-9a-f]+", False, 0, 24, r"[0-9a-f]{24,}"),
 )
 FURTHER = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -220,13 +222,11 @@ def find_spans(column: pa.Array, rules: tuple[Rule, ...]) -> list[list[tuple[int
     data, offsets = _segment(column)
     postings = index.postings(data, offsets)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(column))]
-    texts: dict[int, str] = {}
-    every = column.to_pylist()
+    texts = column.to_pylist()
     for k, (rule, query) in enumerate(zip(rules, asked, strict=True)):
-        # the length of a match that is too short never makes room for another one, except for the first rule's kind
-        scan = re.compile(r"[0-9a-f]{24,}") if rule.kind == "hex" else rule.compiled()
+        scan = rule.compiled()
         for i in candidates(query, postings, len(column)).tolist():
-            text = texts.get(i) or every[i]
+            text = texts[i]
             if not text:
                 continue
             for m in scan.finditer(text):
