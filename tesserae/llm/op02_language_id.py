@@ -136,8 +136,8 @@ def _predict(shared):
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """rows: (doc_id, lang, text) that may be learned from."""
-    known = rows.where("lang is not null and text is not null")
+    """rows: (doc_id, lang, text) that may be learned from; those without doc_id, lang or text are not."""
+    known = rows.where("doc_id is not null and lang is not null and text is not null")
     sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return None
