@@ -43,8 +43,8 @@ class Rule:
     #: A faster expression with the same matches of `least` characters or more, where there is one.
     scan: str | None = None
 
-    def compiled(self) -> re.Pattern:
-        return re.compile(self.scan or self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+    def compiled(self, fast: bool = False) -> re.Pattern:
+        return re.compile((fast and self.scan) or self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
 #: The three base rules, then the further ones; spans that start together come in this order.
@@ -224,7 +224,7 @@ def find_spans(column: pa.Array, rules: tuple[Rule, ...]) -> list[list[tuple[int
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(column))]
     texts = column.to_pylist()
     for k, (rule, query) in enumerate(zip(rules, asked, strict=True)):
-        scan = rule.compiled()
+        scan = rule.compiled(fast=True)
         for i in candidates(query, postings, len(column)).tolist():
             text = texts[i]
             if not text:
