@@ -2,7 +2,7 @@
 
 Languages get codewords: all distinct two-class splits for up to seven languages, else seeded random codewords of
 15 log2(k) bits, the best separated of several draws. Each bit is a binary classifier over hashed character n-grams of
-one to three bytes' worth of letters: the log ratio of the smoothed n-gram frequencies of the languages on either side
+two to four bytes: the log ratio of the smoothed n-gram frequencies of the languages on either side
 (naive Bayes), averaged over the text. Decoding is loss-weighted: the distance to a codeword is the sum over the bits of
 w * log(1 + exp(-code * margin)), where w is the bit's accuracy on the sample for that language, normalised per
 language, and the margins are scaled by their spread on the sample. The nearest codeword wins; a text is flagged
@@ -14,7 +14,7 @@ BUCKETS. Only text and the learned lang enter; prediction reads text alone.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if there is nothing to learn from.
 Score: the probability of the nearest codeword among all, in 0..1. Rows keep their number; repeated rows give repeated
-rows; columns besides doc_id, text and lang are ignored.
+rows; columns besides doc_id, text and lang are ignored. A row without doc_id is predicted, is not held out and is not learned from.
 """
 
 from __future__ import annotations
