@@ -5,8 +5,8 @@ log of the word count, mean word length, log share of symbols, log share of repe
 upper-case letters. A document is judged by the estimate of its language and source, or where that has fewer than LEAST
 documents by the one of its whole language, or where that has fewer too by the one of all documents, however few. The
 estimate starts from two deterministic guesses (medians of a fine histogram with their spread; mean and covariance), takes concentration steps (keep the
-KEEP share of smallest Mahalanobis distance, re-estimate) and keeps the guess with the smaller determinant. The share is
-found from a histogram of log distances, so no group is gathered anywhere: hot groups are pre-aggregated in every task.
+KEEP share of smallest Mahalanobis distance, re-estimate), STEPS from each, and goes on from the one with the smaller
+determinant until no step lowers that of the group by GAIN. The share is found from a histogram of log distances, so no group is gathered anywhere: hot groups are pre-aggregated in every task.
 A floor on every variance keeps estimates regular where a statistic hardly varies; below LEAST documents it grows as their number falls. A document whose squared
 distance exceeds CUTOFF is rejected, as is one that fails the base rules.
 
@@ -24,7 +24,9 @@ from pyspark.sql import window as W
 
 from .common import free_name, materialize, sized, table
 
-DIMS, KEEP, STEPS, LEAST = 5, 0.75, 3, 200
+DIMS, KEEP, STEPS, LEAST = 5, 0.75, 2, 200
+#: A concentration step counts if the root of the determinant falls by this share.
+GAIN = 0.01
 #: Squared distance beyond which a document is an outlier; far in the tail of chi-squared with DIMS degrees of freedom, as
 #: statistics of clean texts have heavier tails than normal ones.
 CUTOFF = 60.0
@@ -114,8 +116,18 @@ def _concentrated(df: DataFrame, guess: DataFrame) -> DataFrame:
     return materialize(_moments(near.join(sized(edges), "g"), F.when(F.col("ld") <= F.col("edge"), 1.0).otherwise(0.0)).coalesce(_FILES))
 
 
+def _best(*guesses: DataFrame) -> DataFrame:
+    """For each group the guess with the smallest determinant, the first of equal ones; `fell`: the later ones were smaller by GAIN."""
+    det = reduce(lambda a, b: a * b, [F.col(f"l{i}_{i}") for i in range(DIMS)])
+    kept = ["g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in _pairs()]]
+    every = reduce(DataFrame.unionByName, [g.select(kept).withColumns({"_at": F.lit(i), "_det": det}) for i, g in enumerate(guesses)])
+    first = F.max(F.when(F.col("_at") == 0, F.col("_det"))).over(W.Window.partitionBy("g"))
+    ranked = every.withColumns({"_r": F.row_number().over(W.Window.partitionBy("g").orderBy("_det", "_at")), "fell": F.coalesce(F.col("_det") < first * (1 - GAIN), F.lit(False))})
+    return materialize(ranked.where("_r = 1").drop("_r", "_at", "_det").coalesce(_FILES))
+
+
 def _estimates(df: DataFrame) -> DataFrame:
-    """The estimate of each group with the smaller determinant, from two deterministic starts."""
+    """The estimate of each group with the smaller determinant, from two deterministic starts, concentrated until it falls no more."""
     every = materialize(_moments(df, F.lit(1.0)).coalesce(_FILES))
     medians = None
     for i in range(DIMS):
@@ -124,12 +136,17 @@ def _estimates(df: DataFrame) -> DataFrame:
     flat = every.select("g", *[f"l{i}_{j}" if i == j else F.lit(0.0).alias(f"l{i}_{j}") for i, j in _pairs()])
     starts = [every, materialize(medians.join(flat, "g").select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in _pairs()]).coalesce(_FILES))]
     ends = []
-    for s, guess in enumerate(starts):
+    for guess in starts:
         for _ in range(STEPS):
             guess = _concentrated(df, guess)
-        ends.append(guess.withColumns({"start": F.lit(s), "det": reduce(lambda a, b: a * b, [F.col(f"l{i}_{i}") for i in range(DIMS)])}))
-    best = W.Window.partitionBy("g").orderBy("det", "start")
-    return ends[0].unionByName(ends[1]).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "start", "det")
+        ends.append(guess)
+    done, moving = [], _best(*ends)
+    while True:  # every turn lowers the determinant of each group that stays, by GAIN at least; the floors bound it
+        now = _best(moving, _concentrated(df, moving))
+        done.append(now.where("not fell").drop("fell"))
+        moving = materialize(now.where("fell"))
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
