@@ -151,22 +151,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
 
 
-def communities(pairs: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community) by synchronous label propagation over weighted pairs (u, v, w): heaviest label, ties to the
-    smallest; nodes move in turns by parity of a hash, so labels do not swing. Deterministic; covers every node once."""
-    both = written(pairs.select("u", "v", "w").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    labels = written(both.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct())
-    for turn in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "community").agg(F.round(F.sum("w"), 9).alias("w"))
-        best = votes.groupBy("u").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("b")).select(F.col("u").alias("node"), (-F.col("b.c")).alias("new"))
-        now = labels.join(best, "node").select("node", F.when(F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2, F.col("new")).otherwise(F.col("community")).alias("community"), (F.col("new") != F.col("community")).alias("moved"))
-        now = written(now)
-        labels = now.drop("moved")
-        if now.where("moved").isEmpty():
-            break
-    return labels
-
-
 def modularity(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the modularity of a labelling (node, community)."""
     of = lambda c, to: labels.select(F.col("node").alias(c), F.col("community").alias(to))

@@ -13,6 +13,7 @@ from ..operators import documents as D
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import matching as M
+from ..operators import modularity as Q
 from ..operators import trees as R
 from ..sources.tables import ctes, read, view
 from ..streaming import registry as S
@@ -441,7 +442,7 @@ def tiny_merge(s, d):
 
 @query()
 def communities(s, d):
-    return G.communities(E.weighted_pairs(view(s, d, "v_edge")))
+    return Q.communities(E.weighted_pairs(view(s, d, "v_edge")))
 
 
 # State and documents
