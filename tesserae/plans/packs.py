@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import packs as P
 from ..operators import resolution as N
+from ..operators import rewriting as L
 from ..sources.tables import read, view
 from .catalog import query
 
@@ -233,3 +234,22 @@ def fuzzy_documents(s, d):
 def safe_slugs(s, d):
     p = view(s, d, "v_part")
     return p.select("p_partkey", T.safe_slug(F.when(F.col("p_size") % 2 == 0, F.replace("p_container", F.lit(" "), F.lit("--"))).otherwise("模块"), F.col("p_partkey")).alias("slug"))
+
+
+# Links
+
+
+def _fold(x):
+    return f"regexp_replace(translate(regexp_replace(replace(lower({x}), '&', ' and '), '[^\\w.\\s-]', '_', 'g'), '- ', '__'), '_+', '_', 'g')"
+
+
+@query(f"""fi AS (SELECT DISTINCT replace(p_name, ' ', CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE '_' END) || '.md' AS f FROM part WHERE p_size % 4 > 0),
+ta AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN '../' || replace(p_name, ' ', '_') || '.html#a' WHEN 1 THEN replace(p_name, ' ', '_') || '.md' WHEN 2 THEN upper(p_name) || '.md#b' ELSE 'https://' || p_brand END AS target FROM part),
+n AS (SELECT target, {_fold("regexp_replace(regexp_replace(replace(target, '../', ''), '#.*$', ''), '[.][a-z]*$', '')")} AS k, regexp_extract(target, '#.*$') AS anchor FROM ta),
+d AS (SELECT {_fold("replace(f, '.md', '')")} AS k, count(*) AS c, min(f) AS f FROM fi GROUP BY 1), r AS (SELECT target, CASE WHEN target LIKE 'https:%' THEN target WHEN c = 1 THEN f || anchor END AS new FROM n LEFT JOIN d USING (k))
+SELECT target, coalesce(new, target) AS new_target, CASE WHEN new IS NULL THEN 'removed' WHEN new = target THEN 'kept' ELSE 'rewritten' END AS action FROM r""", "v_part")
+def link_targets(s, d):
+    p, k, folded = read(s, d, "part"), F.col("p_partkey") % 4, F.translate("p_name", " ", "_")
+    files = p.where("p_size % 4 > 0").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", " ", "-")).otherwise(folded), F.lit(".md")).alias("file_name"))
+    target = F.when(k == 0, F.concat(F.lit("../"), folded, F.lit(".html#a"))).when(k == 1, F.concat(folded, F.lit(".md"))).when(k == 2, F.concat(F.upper("p_name"), F.lit(".md#b"))).otherwise(F.concat(F.lit("https://"), "p_brand"))
+    return L.aimed_targets(p.select(target.alias("target")), files)

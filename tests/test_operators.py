@@ -272,3 +272,23 @@ def test_path_tokens(spark):
 
     rows = spark.createDataFrame([("src/My-Part_one.test.py",), ("a\\b/.env",), ("",)], "p string").select(path_tokens(F.col("p")).alias("t")).collect()
     assert [sorted(r.t) for r in rows] == [["my", "one.test", "part"], [".env", "a", "b"], []]
+
+
+def test_links_are_put_right(spark):
+    from tesserae.operators import rewriting
+
+    text = "[a](../My File.html#x) `[a](no.md)` [b](gone.md) [c](my_file.md)\n```\n[d](gone.md)\n```\n[e](http://x) [f](#y) [g](two.md)[h](dir/)\n"
+    docs = [("my_file.md", text), ("one-two.md", "[p](one/two.md) [q](ONE_TWO.md#z)"), ("Two.md", "plain"), ("two.md", None), ("empty.md", "")]
+    got = {r.file_name: (r.text, r.rewritten, r.removed) for r in rewriting.rewrite_links(spark.createDataFrame(docs, "file_name string, text string")).collect()}
+    assert got["my_file.md"] == ("[a](my_file.md#x) `[a](no.md)` b [c](my_file.md)\n```\n[d](gone.md)\n```\n[e](http://x) [f](#y) g[h](dir/)\n", 1, 2)
+    assert got["one-two.md"] == ("[p](one-two.md) [q](one-two.md#z)", 2, 0)
+    assert got["Two.md"] == ("plain", 0, 0) and got["two.md"] == (None, 0, 0) and got["empty.md"] == ("", 0, 0)
+    assert rewriting.rewrite_links(spark.createDataFrame([], "file_name string, text string")).count() == 0
+
+
+def test_formulas_are_cleaned(spark):
+    from tesserae.operators import rewriting
+
+    given = "\x08eta + \x08ar \\left ceil x \\right  ceil \\left floor y \\right floor z^2^3"
+    wanted = "\\beta + \\bar \\left\\lceil x \\right\\rceil \\left\\lfloor y \\right\\rfloor z^{2}^{3}"
+    assert one(spark, rewriting.clean_formula(F.col("a")), a=given) == wanted
