@@ -12,6 +12,8 @@ from . import op07_quotations as op7
 from . import op08_line_dedup as op8
 from . import op09_quality as op9
 from . import op10_secret_scans as op10
+from . import op11_runs as op11
+from . import op12_alignment as op12
 
 
 def queries() -> dict:
@@ -26,6 +28,8 @@ def queries() -> dict:
         "op8_line_dedup": op8.op8_line_dedup,
         "op9_quality": op9.op9_quality,
         "op10_secret_scans": op10.op10_secret_scans,
+        "op11_runs": op11.op11_runs,
+        "op12_alignment": op12.op12_alignment,
     }
 
 
