@@ -60,6 +60,11 @@ def drop(*frames: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name for a working column that df has not (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

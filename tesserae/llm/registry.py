@@ -14,6 +14,7 @@ from . import op09_quality as op9
 from . import op10_secret_scans as op10
 from . import op11_runs as op11
 from . import op12_alignment as op12
+from . import op13_archives as op13
 
 
 def queries() -> dict:
@@ -30,8 +31,9 @@ def queries() -> dict:
         "op10_secret_scans": op10.op10_secret_scans,
         "op11_runs": op11.op11_runs,
         "op12_alignment": op12.op12_alignment,
+        "op13_archives": op13.op13_archives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": op1.SQL, "op8_line_dedup": op8.SQL}
+    return {"op1_ngram_join": op1.SQL, "op8_line_dedup": op8.SQL, "op13_archives": op13.SQL}

@@ -1,7 +1,11 @@
 """Periodic runs, cross-tokenizer alignment and archives against brute force."""
 
+import gzip
 import hashlib
+import io
+import os
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,8 +16,11 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import common, op11_runs, op12_alignment
-from tesserae.llm.suffixes import Suffixes
+sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+from oracle import check, connect  # noqa: E402
+
+from tesserae.llm import common, op11_runs, op12_alignment, op13_archives  # noqa: E402
+from tesserae.llm.suffixes import Suffixes  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, runs string, pairs string, row string, a string, n string"
@@ -199,3 +206,79 @@ def test_alignment_texts_and_memory_bounds(spark, monkeypatch):
     decoded = Tokenizer.from_file(A_FILE).decode([int(i) for a, _ in groups for i in a.split(",")])
     assert decoded == " " + rows[0][1] and v.b.decode([int(i) for _, b in groups for i in b.split(",")]) == rows[0][1]
     assert op12_alignment.alignments(frame(spark, rows).where("false"), A_FILE, B_FILE).count() == 0
+
+
+PAGES = "page_id long, url string, html string, key string, first string, archive string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, "k", "f", "a") for i, u, h in rows], PAGES)
+
+
+def brute_pages(rows):
+    groups = defaultdict(list)
+    for k, (i, _, html) in enumerate(rows):
+        groups[html or ""].append((i is None, i or 0, k))
+    out = Counter()
+    for html, at in groups.items():
+        data = html.encode()
+        first = min(at)
+        for none, i, k in at:
+            again = len(data) >= 100 and (none, i, k) != first
+            out[(None if none else i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", None if not again or first[0] else first[1])] += 1
+    return out
+
+
+ODD_PAGES = [
+    (1, "http://a.example/x y", None), (2, None, ""), (3, "http://a.example/\n\r\tz", "z" * 99), (4, "u", "z" * 99), (6, "é", "é" * 50), (5, "u", "é" * 50), (5, "u", "é" * 50), (None, "u", "é" * 50),
+    (None, "u", "n" * 100), (None, "u", "n" * 100), (7, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\nfiledesc://x 0.0.0.0 19700101000000 text/plain 9\n" * 3), (8, "u", "\r\n\r\n" * 40), (9, "u", "x" * 3_000_000),
+    (10, "http://x.example/ 1 2 3", "HTTP/1.1 200 OK\r\nX-Page-Id: 99\r\n\r\n"),
+]
+
+
+def test_archives_of_odd_pages(spark, tmp_path):
+    rows = ODD_PAGES + [(i, f"http://many.example/{i}", "same page " * 20 if i % 3 else f"page {i} " * 30) for i in range(100, 6000)]
+    pages(spark, rows).coalesce(2).write.parquet(str(tmp_path / "pages.parquet"))
+    got = op13_archives.op13_archives(spark, str(tmp_path))
+    assert Counter(map(tuple, got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())) == brute_pages(rows)
+    pages(spark, rows).where("false").write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert op13_archives.op13_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_hold_what_was_written(spark, tmp_path, version):
+    arc, warc = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    op13_archives.write_arc(pages(spark, ODD_PAGES).coalesce(1), arc, version, ip=F.lit("10.0.0.1"), date=F.lit("20010203040506"))
+    data = gzip.decompress(next((tmp_path / "arc").glob("part-*")).read_bytes())
+    parsed = list(op13_archives.arc_records(io.BytesIO(data)))
+    assert len(parsed) == 1 + len(ODD_PAGES) and {r["version"] for r in parsed[1:]} == {version} and not any(r["truncated"] for r in parsed)
+    for r, (key, _, html) in zip(parsed[1:], ODD_PAGES, strict=True):
+        line = data[r["offset"] :].split(b"\n", 1)[0].split(b" ")
+        assert len(line) == (5 if version == 1 else 10) and int(line[-1]) == len(r["block"]) and r["block"] == op13_archives.http_block(key, (html or "").encode())
+        assert version == 1 or line[7] == b"%d" % r["offset"]
+    op13_archives.arc_to_warc(spark, arc, warc)
+    back = op13_archives.read_warc(spark, warc).collect()
+    ids = {r.record_id: r for r in back}
+    assert len(ids) == len(back) == len(parsed) and all(r.digest_holds for r in back if r.type == "response")
+    assert {r.date for r in back} == {"2001-02-03T04:05:06Z"} and Counter(r.type for r in back) == {"warcinfo": 1, "revisit": 4, "response": len(ODD_PAGES) - 4}
+    assert Counter(bytes(r.payload) for r in back if r.type == "response" and r.payload_bytes < 100) == Counter((h or "").encode() for _, _, h in ODD_PAGES if len((h or "").encode()) < 100)
+    for r in back:
+        if r.type == "revisit":
+            assert ids[r.refers_to_id].payload_digest == r.payload_digest and ids[r.refers_to_id].type == "response" and r.payload == b""
+
+
+def test_arc_lines_that_are_no_headers():
+    version_1 = op13_archives.arc_description(1, b"x.arc", b"19990101000000") + b"\n"
+    bad = b"not a header\nhttp://a 0.0.0.0 19990101 text/html nine\n"
+    dns = b"dns:a.example 0.0.0.0 199901010203 text/dns 4\nbody\n"
+    short = b"http://b 0.0.0.0 19990101000000 text/html 50\nHTTP/1.0 200 OK\r\n\r\nhalf"
+    got = list(op13_archives.arc_records(io.BytesIO(version_1 + bad + dns + short)))
+    assert [(r["url"], r["date"], r["truncated"]) for r in got[1:]] == [(b"dns:a.example", b"19990101020300", False), (b"http://b", b"19990101000000", True)]
+    rows = [op13_archives._converted("f", r) for r in got]
+    assert [r[4] for r in rows] == ["warcinfo", "resource", "response"] and rows[1][8] == "text/dns" and rows[2][-1] == b"half"
+    assert op13_archives._converted("f", got[1]) == rows[1]  # the same identifier each time
+    assert list(op13_archives.arc_records(io.BytesIO(b""))) == []
+
+
+def test_archives_equal_sql(spark):
+    check(spark, connect(SMALL), SMALL, op13_archives.op13_archives, op13_archives.SQL)
