@@ -1,8 +1,8 @@
 """Source files (path, language, content) to symbols and references: Arrow batches, a bad file gives nothing.
 
-Python goes through the standard `ast`. The other languages go through line rules (RULES): one expression for each kind
-of symbol, and one for each kind of reference, with the enclosing symbol as its origin. Configuration formats (TOML, INI,
-Makefile, CMake, Tcl) are such rules too, with sections as symbols. Calls to a language's keywords are no references.
+Python goes through the standard `ast`; languages with braces go through statements (see scanner), so declarations may cover
+several lines, and comments and strings declare nothing. Bash and configuration formats (TOML, INI, Makefile, CMake, Tcl) go
+through line rules (RULES) over lines joined with what continues them, with sections as symbols. Calls to keywords are no references.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import scanner
 
 SYMBOLS = "path string, language string, kind string, name string, qualified string, parent string, signature string, bases string, first int, last int, exported boolean, docstring string, source_hash string"
 REFERENCES = "path string, language string, origin string, kind string, target string, line int"
@@ -24,24 +25,15 @@ REFERENCES = "path string, language string, origin string, kind string, target s
 _CALL = r"\b([A-Za-z_][\w]*(?:(?:\.|::|->)[A-Za-z_]\w*)*)\s*\("
 _KEYWORDS = frozenset("if for while switch return sizeof catch function fn func def class new typeof await yield do else elif in not and or assert print echo match when using lock foreach".split())
 
-#: Language: (symbol rules (kind, expression with a group `name`, and `bases` if it has any), reference rules (kind, expression), block style).
+#: Language: (symbol rules (kind, expression with a group `name`), reference rules (kind, expression), block style).
 RULES: dict[str, tuple[list[tuple[str, str]], list[tuple[str, str]], str]] = {
-    "javascript": ([("class", r"^\s*(?:export\s+(?:default\s+)?)?class\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w.]+))?"), ("function", r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)\s*\("), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("method", r"^\s+(?:static\s+|async\s+|get\s+|set\s+)*(?P<name>[A-Za-z_]\w*)\s*\([^)]*\)\s*\{")], [("imports", r"(?:from\s+|require\(\s*|import\s+)['\"]([^'\"]+)['\"]"), ("creates", r"\bnew\s+([\w.]+)"), ("calls", _CALL)], "brace"),
-    "java": ([("class", r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed)\s+)*(?:class|record)\s+(?P<name>\w+)[^{]*?(?:extends\s+(?P<bases>[\w.]+))?[^{]*\{?"), ("interface", r"^\s*(?:(?:public|protected|private|static)\s+)*@?interface\s+(?P<name>\w+)"), ("enum", r"^\s*(?:(?:public|protected|private|static)\s+)*enum\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]+\s+(?P<name>\w+)\s*\([^;]*$")], [("imports", r"^\s*import\s+(?:static\s+)?([\w.]+)"), ("creates", r"\bnew\s+([\w.]+)"), ("calls", _CALL)], "brace"),
-    "csharp": ([("class", r"^\s*(?:(?:public|internal|protected|private|static|sealed|abstract|partial)\s+)*(?:class|struct|record)\s+(?P<name>\w+)(?:<[^>]*>)?(?:\s*:\s*(?P<bases>[\w., <>]+))?"), ("interface", r"^\s*(?:(?:public|internal)\s+)*interface\s+(?P<name>\w+)"), ("enum", r"^\s*(?:(?:public|internal)\s+)*enum\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|internal|protected|private|static|virtual|override|async)\s+)+[\w<>\[\], .?]+\s+(?P<name>\w+)\s*\(")], [("imports", r"^\s*using\s+([\w.]+)\s*;"), ("creates", r"\bnew\s+([\w.]+)"), ("calls", _CALL)], "brace"),
-    "c": ([("struct", r"^\s*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{?"), ("function", r"^(?!\s*(?:return|else)\b)[A-Za-z_][\w\s*]*?[\s*](?P<name>\w+)\s*\([^;]*$")], [("include", r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"), ("calls", _CALL)], "brace"),
-    "cpp": ([("class", r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?P<name>\w+)(?:\s*(?:final)?\s*:\s*(?:public|protected|private)?\s*(?P<bases>[\w:]+))?\s*\{?"), ("function", r"^(?!\s*(?:return|else)\b)[A-Za-z_][\w\s:*&<>,]*?[\s*&](?P<name>[\w:~]+)\s*\([^;]*$")], [("include", r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"), ("creates", r"\bnew\s+([\w:]+)"), ("calls", _CALL)], "brace"),
-    "php": ([("class", r"^\s*(?:(?:final|abstract)\s+)*class\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w\\]+))?"), ("interface", r"^\s*(?:interface|trait|enum)\s+(?P<name>\w+)"), ("function", r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*function\s+&?(?P<name>\w+)\s*\(")], [("imports", r"^\s*use\s+([\w\\]+)"), ("creates", r"\bnew\s+([\w\\]+)"), ("calls", r"\b(\w+(?:::\w+)?)\s*\(")], "brace"),
-    "go": ([("type", r"^type\s+(?P<name>\w+)\s+(?:struct|interface)\b"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*[\[(]")], [("imports", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$"), ("calls", _CALL)], "brace"),
-    "rust": ([("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(?P<name>\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+(?P<name>\w+)")], [("imports", r"^\s*(?:pub\s+)?use\s+([\w:]+)"), ("implements", r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b"), ("calls", _CALL)], "brace"),
     "bash": ([("function", r"^\s*(?:function\s+)?(?P<name>[\w-]+)\s*\(\)\s*\{?"), ("function", r"^\s*function\s+(?P<name>[\w-]+)\s*\{")], [("calls", r"^\s*([A-Za-z_][\w-]*)(?:\s|$)")], "brace"),
-    "cmake": ([("function", r"(?i)^\s*(?:function|macro)\s*\(\s*(?P<name>\w+)"), ("executable", r"(?i)^\s*add_executable\s*\(\s*(?P<name>[\w.-]+)"), ("library", r"(?i)^\s*add_library\s*\(\s*(?P<name>[\w.-]+)")], [("link_dependency", r"(?i)target_link_libraries\s*\(\s*\S+\s+(?:PUBLIC\s+|PRIVATE\s+|INTERFACE\s+)?([\w:.-]+)"), ("calls", r"^\s*(\w+)\s*\(")], "none"),
+    "cmake": ([("function", r"(?i)^\s*(?:function|macro)\s*\(\s*(?P<name>\w+)"), ("executable", r"(?i)^\s*add_executable\s*\(\s*(?P<name>[\w.-]+)"), ("library", r"(?i)^\s*add_library\s*\(\s*(?P<name>[\w.-]+)")], [("link_dependency", r"(?i)target_link_libraries\s*\(\s*\S+\s+((?:[\w:.-]+\s*)+)"), ("calls", r"^\s*(\w+)\s*\(")], "none"),
     "makefile": ([("target", r"^(?P<name>[\w./%-]+)\s*:(?![=])")], [("prerequisite", r"^[\w./%-]+\s*:(?!=)\s*([^#=]+)")], "next"),
     "tcl": ([("hls_project", r"^\s*open_project\s+(?:-reset\s+)?(?P<name>\S+)"), ("hls_top", r"^\s*set_top\s+(?P<name>\S+)")], [("hls_source", r"^\s*add_files\s+(?:-\S+\s+)*(\S+)"), ("hls_synth", r"^\s*(csynth_design)"), ("hls_export", r"^\s*(export_design)")], "next"),
     "config": ([("section", r"^\s*\[(?P<name>[^\]]+)\]"), ("hls_top", r"^\s*syn\.top\s*=\s*(?P<name>\S+)"), ("kernel_instance", r"^\s*nk\s*=\s*(?P<name>[^:\s]+)")], [("hls_source", r"^\s*syn\.file\s*=\s*(\S+)"), ("stream_connect", r"^\s*(?:sc|stream_connect)\s*=\s*(\S+)"), ("memory_map", r"^\s*sp\s*=\s*(\S+)")], "next"),
     "toml": ([("table_array", r"^\s*\[\[(?P<name>[^\].]+)"), ("table", r"^\s*\[(?P<name>[^\[\].]+)")], [], "next"),
 }
-RULES["typescript"] = ([*RULES["javascript"][0][:1], ("class", r"^\s*(?:export\s+)?abstract\s+class\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w.]+))?"), ("interface", r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w.]+))?"), ("type", r"^\s*(?:export\s+)?type\s+(?P<name>\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)"), *RULES["javascript"][0][1:3], ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly)\s+)*(?P<name>[A-Za-z_]\w*)\s*\([^)]*\)\s*(?::[^{]+)?\{")], RULES["javascript"][1], "brace")
 
 
 def parse_python(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
@@ -76,6 +68,21 @@ def parse_python(path: str, content: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, references
 
 
+def parse_statements(path: str, language: str, content: str) -> tuple[list[tuple], list[tuple]]:
+    found, links = scanner.scan(language, content)
+    line = scanner.Lines(content)
+    symbols = []
+    for r in found:
+        source = content[r["start"] : r["end"] + 1]
+        public = "private" not in r["head"] and (r["name"][:1].isupper() if language == "go" else not r["name"].startswith(("_", "#")))
+        symbols.append((path, language, r["kind"], r["name"], r["id"], r["parent"], r["head"], ",".join(r["bases"]) or None, line(r["start"]), line(r["end"]), public, None, hashlib.sha256(source.encode()).hexdigest()[:16]))
+    return symbols, [(path, language, origin, kind, target, line(at)) for at, origin, kind, target in links]
+
+
+#: Comments of the languages that go line by line.
+_REMARKS = {"bash": r"(?<![\w$\"'{])#.*$", "cmake": r"#.*$", "makefile": r"(?<!\\)#.*$", "tcl": r"^\s*#.*$", "config": r"^\s*[#;].*$", "toml": r"^\s*#.*$"}
+
+
 def parse_lines(path: str, language: str, content: str) -> tuple[list[tuple], list[tuple]]:
     kinds, links, style = RULES[language]
     kinds, links = [(k, re.compile(p)) for k, p in kinds], [(k, re.compile(p)) for k, p in links]
@@ -86,9 +93,10 @@ def parse_lines(path: str, language: str, content: str) -> tuple[list[tuple], li
         while open_ and open_[-1][1] >= upto:
             symbols[open_.pop()[0]][9] = line
 
-    rows = content.split("\n")
-    for n, row in enumerate(rows, 1):
-        code = re.sub(r"(?<![:\"'])//.*$", "", row) if style == "brace" and language not in ("bash",) else row
+    if language == "toml":  # what stands in strings of several lines is no table
+        content = re.sub(r'"""(?:\\.|[^\\])*?"""|\'\'\'.*?\'\'\'', lambda m: re.sub(r"[^\n]", " ", m[0]), content, flags=re.S)
+    content, last = re.sub("(?m)" + _REMARKS[language], "", content), 1
+    for n, last, code in scanner.logical_lines(content, parens=language == "cmake"):
         found = None
         for kind, rule in kinds:
             if (m := rule.match(code)) and m["name"] not in _KEYWORDS:
@@ -97,26 +105,21 @@ def parse_lines(path: str, language: str, content: str) -> tuple[list[tuple], li
         if found:
             if style == "next":
                 close(n - 1, 0)
-            parent = symbols[open_[-1][0]][4] if open_ else None
-            name = f"{parent}.{found['name']}" if parent and style == "brace" else found["name"]
-            bases = found.groupdict().get("bases")
-            symbols.append([path, language, kind, found["name"], name, parent if style == "brace" else None, code.strip().rstrip("{").strip(), bases, n, n, not found["name"].startswith("_") and "private" not in code, None, hashlib.sha256(code.encode()).hexdigest()[:16]])
+            symbols.append([path, language, kind, found["name"], found["name"], None, code.strip().rstrip("{").strip(), None, n, last, not found["name"].startswith("_"), None, hashlib.sha256(code.encode()).hexdigest()[:16]])
             open_.append((len(symbols) - 1, 0 if style == "next" else depth))
-            if bases:
-                references.append((path, language, name, "extends", bases.strip(), n))
         origin = symbols[open_[-1][0]][4] if open_ else None
         for kind, rule in links:
             for m in rule.finditer(code):
-                for target in m[1].split() if kind == "prerequisite" else [m[1]]:
-                    if target not in _KEYWORDS and not (found and kind == "calls" and target == found["name"]):
+                for target in m[1].split() if kind in ("prerequisite", "link_dependency") else [m[1]]:
+                    if target not in _KEYWORDS and target not in ("PUBLIC", "PRIVATE", "INTERFACE") and not (found and kind == "calls" and target == found["name"]):
                         references.append((path, language, origin, kind, target, n))
         if style == "brace":
             depth += code.count("{") - code.count("}")
             if "}" in code or (found and "{" not in code and code.rstrip().endswith(";")):
-                close(n, depth)
+                close(last, depth)
         elif style == "none":
-            close(n, 0)
-    close(len(rows), 0)
+            close(last, 0)
+    close(last, 0)
     return [tuple(s) for s in symbols], references
 
 
@@ -125,7 +128,9 @@ def parse(path: str, language: str, content: str | None) -> tuple[list[tuple], l
     try:
         if not content:
             return [], []
-        return parse_python(path, content) if language == "python" else parse_lines(path, language, content) if language in RULES else ([], [])
+        if language == "python":
+            return parse_python(path, content)
+        return parse_statements(path, language, content) if language in scanner.DECLARATIONS else parse_lines(path, language, content) if language in RULES else ([], [])
     except (SyntaxError, ValueError, RecursionError):
         return [], []
 
