@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import clusters as P
 from ..operators import context as C
 from ..operators import documents as D
 from ..operators import edges as E
@@ -398,10 +399,21 @@ _RATIOS = """n AS (SELECT module_id AS set_id, component_id AS item, count(*) AS
 j AS (SELECT coalesce(n.set_id, o.set_id) AS set_id, n.h AS nh, o.h AS oh FROM n FULL JOIN o ON n.set_id = o.set_id AND n.item = o.item), q AS (SELECT set_id, least(count(*) FILTER (WHERE nh IS NULL OR oh IS NULL OR nh <> oh) / nullif(count(nh), 0), 1.0) AS ratio FROM j GROUP BY 1)"""
 
 
-@query(f"""{_RATIOS}, l AS (SELECT module_id, parent_id FROM v_module JOIN q ON set_id = module_id WHERE round(ratio, 6) >= 0.9)
-SELECT module_id, 0 AS level, 'leaf_ratio' AS reason FROM l UNION ALL SELECT parent_id, 1, 'child_ratio' FROM (SELECT parent_id, count(*) AS k FROM l GROUP BY 1) JOIN (SELECT parent_id, count(*) AS n FROM v_module GROUP BY 1) USING (parent_id) WHERE k / n >= 0.3""", "v_member", "v_module")
+def _titles(s, d, year):
+    """Modules as children of their regions, with titles that change with the year."""
+    m = view(s, d, "v_member").where(F.col("snapshot") == year).groupBy("module_id").agg(F.floor(F.min("component_id") / 20).cast("string").alias("title"))
+    return m.join(view(s, d, "v_module").select("module_id", "parent_id"), "module_id")
+
+
+_TITLES = "SELECT m.module_id, v.parent_id, min(m.component_id) // 20 AS t FROM v_member m JOIN v_module v USING (module_id) WHERE snapshot = {} GROUP BY 1, 2"
+
+
+@query(f"""{_RATIOS}, l AS (SELECT module_id, parent_id FROM v_module JOIN q ON set_id = module_id WHERE round(ratio, 6) >= 0.9), a AS ({_TITLES.format(1998)}), b AS ({_TITLES.format(1997)}),
+h AS (SELECT DISTINCT coalesce(a.parent_id, b.parent_id) AS parent_id FROM a FULL JOIN b ON a.module_id = b.module_id AND a.parent_id = b.parent_id WHERE a.t IS DISTINCT FROM b.t)
+SELECT module_id, 0 AS level, 'leaf_ratio' AS reason FROM l UNION ALL SELECT parent_id, 1, CASE WHEN parent_id IN (SELECT parent_id FROM h) THEN 'hard_trigger' ELSE 'child_ratio' END
+FROM (SELECT parent_id, count(*) AS n, count(l.module_id) AS k FROM v_module LEFT JOIN l USING (module_id, parent_id) WHERE parent_id <> 'root' GROUP BY 1) WHERE k / n >= 0.3 OR parent_id IN (SELECT parent_id FROM h)""", "v_member", "v_module")
 def invalidation_plan(s, d):
-    triggers = view(s, d, "v_module").select("parent_id").where("false")
+    triggers = M.hard_triggers(_titles(s, d, 1998), _titles(s, d, 1997))
     return R.invalidation_plan(view(s, d, "v_module"), M.change_ratio(*_hashed(s, d)), triggers, leaf=0.9)
 
 
@@ -445,6 +457,17 @@ def communities(s, d):
     return Q.communities(E.weighted_pairs(view(s, d, "v_edge")))
 
 
+@query()
+def partition(s, d):
+    return P.partition(view(s, d, "v_layered"), view(s, d, "v_file"))
+
+
+@query("""e AS (SELECT a.path AS src, b.path AS dst, count(*) AS n_edges FROM v_layered JOIN v_file a ON a.component_id = from_id JOIN v_file b ON b.component_id = to_id GROUP BY 1, 2), n AS (SELECT path, count(*) AS n FROM v_file GROUP BY 1)
+SELECT src, dst, n_edges, x.n AS n_src, y.n AS n_dst, (SELECT count(*) FROM v_file p, v_file q WHERE p.path = src AND q.path = dst AND p.component_id <> q.component_id) AS n_pairs FROM e JOIN n x ON x.path = src JOIN n y ON y.path = dst""", "v_layered", "v_file")
+def file_pairs(s, d):
+    return P.file_pairs(view(s, d, "v_layered"), view(s, d, "v_file"))
+
+
 # State and documents
 
 
@@ -542,14 +565,15 @@ def flow_edges(s, d):
     return C.flow_edges(view(s, d, "v_edge"), c)
 
 
-@query("""i AS (SELECT name AS known, min(component_id) AS id FROM v_component GROUP BY 1), w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '_')) ELSE p_name || 's' END AS name FROM part),
+@query("""i AS (SELECT name AS known, min(component_id) AS id FROM v_component GROUP BY 1), w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '_')) ELSE p_name || 's' END AS name FROM part UNION SELECT 'x' || p_name FROM part WHERE p_size > 25),
 k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM w), j AS (SELECT *, regexp_replace(lower(known), '[^a-z0-9]', '', 'g') AS k FROM i),
-f AS (SELECT name, min(id) AS f FROM k JOIN j USING (k) GROUP BY 1), s AS (SELECT name, id, 1 - levenshtein(lower(name), lower(known)) / greatest(length(name), length(known)) AS s FROM k JOIN j ON substr(k.k, 1, 3) = substr(j.k, 1, 3) WHERE name NOT IN (SELECT name FROM f)),
+f AS (SELECT name, min(id) AS f FROM k JOIN j USING (k) GROUP BY 1), s AS (SELECT name, id, 1 - levenshtein(lower(name), lower(known)) / greatest(length(name), length(known)) AS s FROM k CROSS JOIN j WHERE name NOT IN (SELECT name FROM f)),
 b AS (SELECT name, arg_min(id, ROW(-s, id)) AS n FROM s WHERE s >= 0.85 GROUP BY 1)
 SELECT w.name, coalesce(i.id, f.f, b.n) AS component_id, CASE WHEN i.id IS NOT NULL THEN 'exact' WHEN f.f IS NOT NULL THEN 'folded' WHEN b.n IS NOT NULL THEN 'similar' ELSE 'none' END AS how FROM w LEFT JOIN i ON i.known = w.name LEFT JOIN f ON f.name = w.name LEFT JOIN b ON b.name = w.name""", "v_component")
 def healed_names(s, d):
     k = F.col("p_partkey") % 3
     names = read(s, d, "part").select(F.when(k == 0, F.col("p_name")).when(k == 1, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.concat("p_name", F.lit("s"))).alias("name"))
+    names = names.unionByName(read(s, d, "part").where("p_size > 25").select(F.concat(F.lit("x"), "p_name").alias("name")))
     return C.heal_names(names, view(s, d, "v_component"))
 
 

@@ -22,10 +22,13 @@ VIEWS = {
  CASE event_type WHEN 'signup' THEN 'missing' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'valid' WHEN 'error' THEN 'failed' ELSE 'stale' END AS status FROM events""",
     "v_digraph": "SELECT DISTINCT from_id AS src, to_id AS dst FROM v_step WHERE to_id IS NOT NULL AND from_id <> to_id",
     "v_dag": "SELECT DISTINCT least(from_id, to_id) AS dst, greatest(from_id, to_id) AS src FROM v_step WHERE to_id IS NOT NULL AND from_id <> to_id",
+    "v_file": "SELECT p_partkey AS component_id, concat(p_type, '/', p_brand, '/s', p_size, '.py') AS path FROM part",
+    "v_layered": """SELECT CASE WHEN a.p_size >= b.p_size THEN e.from_id ELSE e.to_id END AS from_id, CASE WHEN a.p_size >= b.p_size THEN e.to_id ELSE e.from_id END AS to_id, e.edge_type, e.confidence
+ FROM v_edge e JOIN part a ON a.p_partkey = e.from_id JOIN part b ON b.p_partkey = e.to_id""",
     "v_usage": "SELECT role AS model, conv_id, turn, CAST(length(text) AS BIGINT) AS chars FROM conversations",
 }
 #: Views that a view reads.
-_NEEDS = {"v_edge": ["v_step"], "v_digraph": ["v_step"], "v_dag": ["v_step"]}
+_NEEDS = {"v_edge": ["v_step"], "v_digraph": ["v_step"], "v_dag": ["v_step"], "v_layered": ["v_edge"]}
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
@@ -47,6 +50,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(*names: str) -> str:
     """The views as common table expressions for a DuckDB statement."""
     every: list[str] = []
+    def add(n: str) -> None:
+        for v in _NEEDS.get(n, []):
+            add(v)
+        if n not in every:
+            every.append(n)
+
     for n in names:
-        every += [v for v in [*_NEEDS.get(n, []), n] if v not in every]
+        add(n)
     return ", ".join(f"{v} AS ({VIEWS[v]})" for v in every)

@@ -56,6 +56,7 @@ def test_communities_by_rounds_equal_those_of_one_task(spark):
     from tesserae.operators.modularity import communities
 
     pairs = spark.createDataFrame(_clusters([4, 3, 5]), "u long, v long, w double")
+    # here greedy merges and moves end where the levels of one task do
     alone = {r.node: r.community for r in communities(pairs).collect()}
     assert alone == {**dict.fromkeys(range(4), 0), **dict.fromkeys(range(4, 7), 4), **dict.fromkeys(range(7, 12), 7)}
     assert alone == {r.node: r.community for r in communities(pairs.repartition(3), few=0).collect()}
