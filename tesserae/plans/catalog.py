@@ -482,12 +482,13 @@ def ttl_valid(s, d):
 
 
 def _pages(s, d):
-    """Pages as Markdown: headings and links."""
-    html = read(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("file_name"), F.regexp_replace(F.regexp_replace("html", r"<a href=\"([^\"]*)\">([^<]*)</a>", "\n[$2]($1)\n"), r"<h([1-6])>([^<]*)</h[1-6]>", "\n# $2\n").alias("text"))
-    return html
+    """Pages as Markdown: headings and links, and a section of notes that links to its own and the next page's."""
+    body = F.regexp_replace(F.regexp_replace("html", r"<a href=\"([^\"]*)\">([^<]*)</a>", "\n[$2]($1)\n"), r"<h([1-6])>([^<]*)</h[1-6]>", "\n# $2\n")
+    notes = F.concat(F.lit("\n## Notes, *new*\n[own](#notes-new)\n[next](p"), (F.col("page_id") + 1).cast("string"), F.lit(".md#notes-new)\n[gone](#nowhere)\n## Notes, new\n[twice](#notes-new-1)\n"))
+    return read(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")).alias("file_name"), F.concat(body, notes).alias("text"))
 
 
-_MD = """m AS (SELECT 'p' || page_id || '.md' AS file_name, regexp_replace(regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>', chr(10) || '[\\2](\\1)' || chr(10), 'g'), '<h([1-6])>([^<]*)</h[1-6]>', chr(10) || '# \\2' || chr(10), 'g') AS text FROM pages),
+_MD = """m AS (SELECT 'p' || page_id || '.md' AS file_name, regexp_replace(regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>', chr(10) || '[\\2](\\1)' || chr(10), 'g'), '<h([1-6])>([^<]*)</h[1-6]>', chr(10) || '# \\2' || chr(10), 'g') || chr(10) || '## Notes, *new*' || chr(10) || '[own](#notes-new)' || chr(10) || '[next](p' || (page_id + 1) || '.md#notes-new)' || chr(10) || '[gone](#nowhere)' || chr(10) || '## Notes, new' || chr(10) || '[twice](#notes-new-1)' || chr(10) AS text FROM pages),
 l AS (SELECT file_name, line, row_number() OVER () AS x, i AS line_no FROM (SELECT file_name, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m)),
 k AS (SELECT file_name, line_no, unnest(regexp_extract_all(line, '\\[[^\\]]*\\]\\(([^)]*)\\)', 1)) AS target FROM l)"""
 
@@ -497,17 +498,24 @@ def link_extract(s, d):
     return D.links(_pages(s, d))
 
 
-@query(f"{_MD} SELECT file_name, CAST(line_no AS INTEGER) AS line_no, target, CASE WHEN trim(target) = '' THEN 'empty_link' ELSE 'file_not_found' END AS issue FROM k WHERE NOT regexp_matches(lower(target), '^(https?:|mailto:)') AND (trim(target) = '' OR ltrim(target, '/') NOT IN (SELECT file_name FROM m))", "v_component")
+_ANCHORS = r"""h AS (SELECT file_name, line_no, regexp_replace(regexp_replace(regexp_replace(line, '^\s*#{1,6}\s+', ''), '\*([^*]+)\*', '\1', 'g'), '\s+#+\s*$', '') AS title FROM l WHERE regexp_matches(line, '^#{1,6}\s+\S')),
+g AS (SELECT file_name, line_no, regexp_replace(regexp_replace(lower(trim(title)), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '\s', '-', 'g') AS s FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY file_name, s ORDER BY line_no) - 1 AS n FROM g),
+a AS (SELECT file_name, line_no, CASE WHEN n > 0 THEN s || '-' || n ELSE s END AS anchor FROM n)"""
+_ISSUES = """t AS (SELECT *, CASE WHEN starts_with(target, '#') OR trim(target) = '' THEN file_name ELSE ltrim(string_split(target, '#')[1], '/') END AS f, CASE WHEN contains(target, '#') THEN substr(target, instr(target, '#') + 1) ELSE '' END AS x FROM k WHERE NOT regexp_matches(lower(target), '^(https?:|mailto:)')),
+b AS (SELECT file_name, line_no, target, CASE WHEN trim(target) = '' THEN 'empty_link' WHEN f NOT IN (SELECT file_name FROM m) THEN 'file_not_found' WHEN x <> '' AND NOT EXISTS (SELECT 1 FROM a WHERE a.file_name = f AND a.anchor = x) THEN 'anchor_not_found' END AS issue FROM t)"""
+
+
+@query(f"{_MD}, {_ANCHORS}, {_ISSUES} SELECT file_name, CAST(line_no AS INTEGER) AS line_no, target, issue FROM b WHERE issue IS NOT NULL", "v_component")
 def broken_links(s, d):
     return D.link_issues(_pages(s, d))
 
 
-@query(f"{_MD}, b AS (SELECT file_name, CASE WHEN trim(target) = '' THEN 'empty_link' ELSE 'file_not_found' END AS issue FROM k WHERE NOT regexp_matches(lower(target), '^(https?:|mailto:)') AND (trim(target) = '' OR ltrim(target, '/') NOT IN (SELECT file_name FROM m))) SELECT issue, count(*) AS n, count(DISTINCT file_name) AS files FROM b GROUP BY 1", "v_component")
+@query(f"{_MD}, {_ANCHORS}, {_ISSUES} SELECT issue, count(*) AS n, count(DISTINCT file_name) AS files FROM b WHERE issue IS NOT NULL GROUP BY 1", "v_component")
 def lint_summary(s, d):
     return D.lint_summary(D.link_issues(_pages(s, d)))
 
 
-@query()
+@query(f"{_MD}, {_ANCHORS} SELECT file_name, CAST(line_no AS INTEGER) AS line_no, anchor FROM a", "v_component")
 def page_anchors(s, d):
     return D.anchors(_pages(s, d))
 
