@@ -585,4 +585,4 @@ def healed_names(s, d):
     return C.heal_names(names, view(s, d, "v_component"))
 
 
-from . import packs  # noqa: E402, F401 - registers its queries beside these
+from . import packs, state  # noqa: E402, F401 - register their queries beside these
