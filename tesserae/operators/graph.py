@@ -110,10 +110,10 @@ def topological_levels(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     return _all([*done, left.withColumn("level", F.lit(None).cast("int"))])
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges without those at nodes that have no way in or no way out, until none is left to cut."""
+def _trim(edges: DataFrame, few: int = 0) -> DataFrame:
+    """Edges without those at nodes that have no way in or no way out, until none is left to cut or no more than `few` are left."""
     n = edges.count()
-    while n:
+    while n > few:
         kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept = written(kept)
         m = kept.count()
@@ -123,15 +123,68 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Edges up to which strong components are found by one task.
+FEW_ROUNDS = 100_000
+
+
+def _strong_of_few(batches):
+    """(node, component, size) of all edges (src, dst) of one task: depth first, with the lowest number that each node reaches."""
+    out, schema = {}, None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out.setdefault(a, []).append(b)
+            out.setdefault(b, [])
+    if not out:
+        return
+    number, low, stack, held, found = {}, {}, [], set(), []
+    for root in out:
+        work = [(root, iter(()))] if root not in number else []
+        while work:
+            node, rest = work[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                stack.append(node)
+                held.add(node)
+                work[-1] = node, rest = node, iter(out[node])
+            for other in rest:
+                if other not in number:
+                    work.append((other, iter(())))
+                    break
+                if other in held:
+                    low[node] = min(low[node], number[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
+                    held.difference_update(members)
+                    if len(members) > 1:
+                        found.append(members)
+    kind = schema.field(0).type
+    rows = [(x, min(m), len(m)) for m in found for x in m]
+    yield pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int64())], ["node", "component", "size"])
+
+
+def strong_components(edges: DataFrame, few: int = FEW_ROUNDS) -> DataFrame:
     """(node, component, size) of the strongly connected components of two nodes or more, named by their smallest node.
 
+    Up to `few` edges are solved by one task, more in rounds over all tasks until no more than that are left, with the same result.
+
     Forward-backward colouring: after cutting what can lie on no cycle, every node takes the smallest node that reaches
     it; going back from each such root inside its colour gives one whole component a colour and round.
     """
     found = None
-    edges = _trim(written(edges.where("src <> dst").select("src", "dst").distinct()))
+    edges = _trim(written(edges.where("src <> dst").select("src", "dst").distinct()), few)
     while not edges.isEmpty():
+        if edges.count() <= few:
+            kind = edges.schema["src"].dataType.simpleString()
+            ship(edges.sparkSession)
+            got = written(edges.coalesce(1).mapInArrow(_strong_of_few, f"node {kind}, component {kind}, size long"))
+            return got if found is None else found.unionByName(got)
         colour = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
         while True:
             came = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
@@ -147,7 +200,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         got = written(members.join(sizes, "component").select("node", "component", "size"))
         found = got if found is None else found.unionByName(got)
         rest = edges.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
-        edges = _trim(written(rest))
+        edges = _trim(written(rest), few)
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
 
 

@@ -69,7 +69,7 @@ def graph(seed, n=36):
     return edges + [(0, 3, "imports", "high"), (30, 31, "calls", "low")], files  # a cycle of two files, a file that calls itself
 
 
-@pytest.mark.parametrize(("seed", "few"), [(3, 100_000), (4, 0)])
+@pytest.mark.parametrize(("seed", "few"), [(3, modularity.FEW), (4, 0)])
 def test_partition_equals_spelled_out_cliques(spark, seed, few):
     edges, files = graph(seed)
     plain = Plain(edges, files)
@@ -122,6 +122,23 @@ def test_hubs_weigh_like_cliques(spark):
     assert value == pytest.approx(inner / total - sum((sum(degree[n] for n in range(24) if label[n] == c) / total) ** 2 for c in set(label.values())))
 
 
+def test_strong_components_of_one_task_equal_those_of_rounds(spark):
+    from tesserae.operators.graph import strong_components
+
+    r = random.Random(9)
+    edges = [(a, b) for a in range(30) for b in range(30) if r.random() < 0.05] + [(100, 101), (101, 100), (101, 102), (5, 5)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    reach = {n: {n} for e in edges for n in e}
+    for _ in range(6):
+        reach = {n: set().union(*(reach[b] | {b} for a, b in edges if a == n), s, *(reach[m] for m in s)) for n, s in reach.items()}
+    want = set()
+    for n in reach:
+        same = {m for m in reach[n] if n in reach[m]}
+        if len(same) > 1:
+            want.add((n, min(same), len(same)))
+    assert {tuple(x) for x in strong_components(df).collect()} == want == {tuple(x) for x in strong_components(df, few=0).collect()} and want
+
+
 def test_small_and_odd_partitions(spark):
     none = spark.createDataFrame([], EDGES)
     two = spark.createDataFrame([(1, "a/x"), (2, None), (2, "b/y"), (None, "c")], FILES)
