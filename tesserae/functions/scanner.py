@@ -90,7 +90,16 @@ STRINGS = {
 }
 STRINGS["cpp"], STRINGS["typescript"] = STRINGS["c"], STRINGS["javascript"]
 #: Words that look like calls, and names of a language that are no references.
-WORDS = frozenset("if for while switch return sizeof catch function fn func def class new typeof await yield do else elif in not and or assert print echo match when using lock foreach throw case delete super this self defer go select range try unsafe async constructor synchronized alignof decltype static_assert static_cast dynamic_cast const_cast reinterpret_cast nameof default".split())
+WORDS = frozenset("if for while switch return sizeof catch function class new typeof await yield do else elif in not and or throw case delete super this self try async constructor default".split())
+OWN_WORDS = {
+    "go": frozenset("go defer select range func".split()),
+    "rust": frozenset("match unsafe fn loop".split()),
+    "csharp": frozenset("lock foreach using nameof when checked unchecked fixed".split()),
+    "java": frozenset("assert synchronized".split()),
+    "php": frozenset("echo print foreach match fn isset empty unset array list elseif die exit".split()),
+    "c": frozenset("alignof".split()),
+    "cpp": frozenset("alignof decltype static_assert static_cast dynamic_cast const_cast reinterpret_cast noexcept".split()),
+}
 BUILT_IN = {
     "java": frozenset("boolean byte char double float int long short Boolean Byte Character Double Float Integer Long Short String Object List Set Map Collection Optional void Void".split()),
     "cpp": frozenset("bool char double float int long short signed unsigned void auto size_t string vector map set pair".split()),
@@ -98,7 +107,7 @@ BUILT_IN = {
     "go": frozenset("import type var const make new len cap append copy delete close panic recover print println error nil fmt log os io strings strconv".split()),
 }
 #: Of those, names that can be declared.
-NAMES = frozenset("new def assert print echo match lock range select delete default when fn func from go defer super self".split())
+NAMES = frozenset("new delete default super self".split())
 _TYPES = {"class", "abstract class", "template_class", "struct", "record", "interface", "enum", "trait", "impl", "annotation", "union"}
 _CALL = re.compile(r"(?<![\w.$@#~])(?<!::)(?<!->)([A-Za-z_$][\w$]*(?:(?:\?\.|\.|::|->)[A-Za-z_$][\w$]*)*)(?:\s*!)?(?:(?:::)?\s*<[\w\s,.:*&]*>)?\s*\(")
 _NEW = re.compile(r"\bnew\s+([A-Za-z_][\w.:\\]*)")
@@ -153,6 +162,7 @@ def scan(language: str, content: str) -> tuple[list[dict], list[tuple[int, str |
     """Declarations (kind, name, parent, start, head, end, statement, bases) and references (offset, origin, kind, target)."""
     spoken, bare = masked(content, language)
     rules = [(k, re.compile(p, re.S), closers) for k, p, closers in DECLARATIONS[language]]
+    words = WORDS | OWN_WORDS.get(language, frozenset())
     found, links, built_in = [], [], BUILT_IN.get(language, frozenset())
     open_: list[tuple[dict | None, dict | None]] = []  # for each open brace its declaration, and the innermost one around what it holds
 
@@ -172,7 +182,7 @@ def scan(language: str, content: str) -> tuple[list[dict], list[tuple[int, str |
             for m in rule.finditer(head):
                 named = m.groupdict()
                 before = re.findall(r"[\w=]+", head[: m.start("name")])[-1:]
-                if named["name"] in WORDS - NAMES or kind in ("method", "function") and (before and before[0] in (WORDS - {"function", "fn", "func", "async", "default"} | {"="}) or within and language == "java" and named["name"] == within["name"]):
+                if named["name"] in words - NAMES or kind in ("method", "function") and (before and before[0] in (words - {"function", "fn", "func", "async", "default"} | {"="}) or within and language == "java" and named["name"] == within["name"]):
                     continue
                 rows.setdefault(m.start("name"), _declared(language, kind, named, m, within, start, stop, head) | {"body": stop if closer == "{" else start})
         here = [rows[k] for k in sorted(rows)]
@@ -181,7 +191,7 @@ def scan(language: str, content: str) -> tuple[list[dict], list[tuple[int, str |
         found += here
         links.extend((row["at"], row["id"], "extends", b) for row in here for b in row["bases"] if b not in built_in)
         row = here[-1] if here else None
-        if direct and not row and closer == ";" and language in ("java", "csharp", "cpp") and (m := _FIELD.search(head)) and m[1] not in built_in | WORDS:
+        if direct and not row and closer == ";" and language in ("java", "csharp", "cpp") and (m := _FIELD.search(head)) and m[1] not in built_in | words:
             links.append((start + m.start(1), within["id"], "uses", m[1]))
         if direct and language == "typescript":
             links.extend((start + m.start(1), within["id"], "uses", m[1]) for m in _COLON.finditer(head) if m[1] not in built_in)
@@ -191,7 +201,7 @@ def scan(language: str, content: str) -> tuple[list[dict], list[tuple[int, str |
             end(stop)
     while open_:
         end(len(bare))
-    links += _calls(language, bare, found, built_in)
+    links += _calls(language, bare, found, built_in, words)
     for kind, rule in STRINGS[language]:
         links.extend((m.start(1), None, kind, m[1]) for m in re.finditer(rule, spoken, re.M))
     return [r for r in found if r["kind"] != "impl"], sorted(links, key=lambda r: r[0])
@@ -218,7 +228,7 @@ def _declared(language: str, kind: str, named: dict, m: re.Match, within: dict |
     return {"kind": kind, "name": name, "parent": parent, "id": known, "start": first, "at": start + m.start("name"), "end": stop, "head": " ".join(head[lead:].split()), "bases": _targets(named.get("bases")) + _targets(named.get("also"))}
 
 
-def _calls(language: str, bare: str, found: list[dict], built_in: frozenset) -> list[tuple[int, str | None, str, str]]:
+def _calls(language: str, bare: str, found: list[dict], built_in: frozenset, words: frozenset) -> list[tuple[int, str | None, str, str]]:
     """Calls and creations outside of declared heads, each with the innermost declaration around it; a receiver's type, where the file declares one, takes its place."""
     rows = sorted(found, key=lambda r: r["start"])
     heads = {r["at"] for r in rows}
@@ -238,7 +248,7 @@ def _calls(language: str, bare: str, found: list[dict], built_in: frozenset) ->
             t += 1
         last = re.split(r"\?\.|\.|::|->", target)
         around = open_[-1] if open_ else None
-        if at in heads or len(last) == 1 and target in WORDS or target in built_in or around and (at < around["body"] or target == around["name"] and around["kind"] in _TYPES):
+        if at in heads or len(last) == 1 and target in words or target in built_in or around and (at < around["body"] or target == around["name"] and around["kind"] in _TYPES):
             continue
         if language in ("c", "cpp", "go") and (around["kind"] in _TYPES if around else language != "go"):  # prototypes
             continue
