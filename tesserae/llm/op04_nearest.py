@@ -55,12 +55,25 @@ def _keys(frames):
         for batch in batches:
             x = _matrix(batch.column(1))
             for o, (p, scale, shift) in enumerate(frames.value if len(x) else ()):
-                cells = np.clip(np.floor(x @ p * scale + shift), 0, (1 << BITS) - 1).astype(np.int64)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    cells = np.clip(np.nan_to_num(np.floor(x @ p * scale + shift)), 0, (1 << BITS) - 1).astype(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(x), o, np.int32)), pa.array(hilbert_keys(cells, BITS)), batch.column(0)], ["o", "key", "cid"])
 
     return run
 
 
+def distances(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, by the largest difference and shares of it."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        apart = rows - one
+        d = np.sqrt((apart**2).sum(1))
+        again = np.flatnonzero(~np.isfinite(d) | (d < 1e-150))
+        if len(again):
+            most = np.abs(apart[again]).max(1)
+            d[again] = most * np.sqrt(((apart[again] / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(1))
+    return d
+
+
 def _best(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         q, c = _matrix(queries["vec"].combine_chunks()), _matrix(rows["vec"].combine_chunks())
@@ -68,15 +81,16 @@ def _best(k: int):
         q_rank, c_rank, reach = queries["rank"].to_numpy(), rows["rank"].to_numpy(), queries["reach"].to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(q) and len(c):
-            squares = (c * c).sum(1)
-            rough = squares[None] - 2 * q @ c.T
-            slack = 1e-9 * (squares.max() + (q * q).sum(1))
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = (c * c).sum(1)
+                rough = squares[None] - 2 * q @ c.T
+                slack = 1e-9 * (squares.max() + (q * q).sum(1))
             for i in range(len(q)):
                 near = np.flatnonzero(np.abs(c_rank - q_rank[i]) <= reach[i])
-                if len(near) > k:
-                    r = rough[i, near]
+                r = rough[i, near]
+                if len(near) > k and np.isfinite(r).all() and np.isfinite(slack[i]):  # else all are measured
                     near = near[r <= np.partition(r, k - 1)[k - 1] + slack[i]]
-                d = np.sqrt(((c[near] - q[i]) ** 2).sum(1))
+                d = distances(c[near], q[i])
                 kept = np.lexsort((cid[near], d))[:k]
                 out.append((np.full(len(kept), qid[i]), cid[near][kept], d[kept]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips or held-out accuracy, and the shared edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -302,6 +303,18 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert op04_nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), "true").count() == 0
 
 
+def test_nearest_of_vectors_whose_squares_overflow(spark):
+    r = np.random.default_rng(4)
+    size = r.choice([1e200, 1.0, 1e-170], 12)  # few enough for every window to hold all
+    vectors = [[float(x) for x in r.normal(size=4) * s] for s in size]
+    got = defaultdict(list)
+    for x in op04_nearest.nearest(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), "vec_id % 2 = 0").orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    for q in range(0, 12, 2):
+        exact = sorted((math.hypot(*(a - b for a, b in zip(vectors[q], v, strict=True))), i) for i, v in enumerate(vectors) if i != q)[:10]
+        assert [i for i, _ in got[q]] == [i for _, i in exact] and [s for _, s in got[q]] == pytest.approx([d for d, _ in exact], rel=1e-12)
+
+
 def test_pieces_equal_the_library(spark):
     import public_tokenizers
 
