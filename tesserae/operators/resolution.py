@@ -97,8 +97,24 @@ def symbol_components(symbols: DataFrame, components: DataFrame) -> DataFrame:
     return symbols.join(exact, ["file_path", "name"], "left").join(sole, "file_path", "left").select("symbol_id", F.coalesce("exact", "sole").alias("component_id"))
 
 
+#: Parts that the components of one base name are dealt to.
+PARTS = 64
+
+
 def sources_by_basename(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """(component_id, depends_on): components that name source files (component_id, source) to those in files of that base name
-    (component_id, file_path), but not to themselves."""
-    base = lambda c: F.substring_index(c, "/", -1)
-    return wanted.select("component_id", base("source").alias("b")).join(files.select(F.col("component_id").alias("depends_on"), base("file_path").alias("b")), "b").where("component_id <> depends_on").select("component_id", "depends_on").distinct()
+    """(component_id, depends_on), distinct: components that name source files (component_id, source) to those in files of that base name
+    (component_id, file_path), but not to themselves.
+
+    Each side has a component's base names once, and a pair that shares several comes from the least one, so the pairs themselves
+    are not shuffled. Those of one base name are made by PARTS groups; their number is the result's, the product of both sides.
+    """
+    def side(df: DataFrame, to: str, path: str, several: str) -> DataFrame:
+        names = df.groupBy(F.col("component_id").alias(to)).agg(F.collect_set(F.substring_index(path, "/", -1)).alias("bases"))
+        return names.select(to, F.when(F.size("bases") > 1, F.col("bases")).alias(several), F.explode("bases").alias("b"))
+
+    n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking = side(wanted, "component_id", "source", "x").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    held = side(files, "depends_on", "file_path", "y").withColumn("part", F.pmod(F.xxhash64("depends_on"), F.lit(PARTS)).cast("int"))
+    pairs = asking.repartition(n, "b", "part").join(held.repartition(n, "b", "part").hint("merge"), ["b", "part"]).where("component_id <> depends_on")
+    least = F.array_min(F.array_intersect("x", "y"))
+    return pairs.where(F.col("x").isNull() | F.col("y").isNull() | (F.col("b") == least)).select("component_id", "depends_on")
