@@ -18,8 +18,9 @@ CURLY = "“”‘’«»"
 
 def blocks(docs: DataFrame) -> DataFrame:
     """(file_name, block, start, end, line, content): diagrams by number from 0; line is that of the fence, from 1. Blocks
-    without lines are none.
+    without lines are none. Documents are dealt out anew, since a file of few bytes may hold many and each costs far more than its reading.
     """
+    docs = docs.select("file_name", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.select("file_name", "text", F.posexplode(spans(F.col("text"), BLOCK)).alias("block", "span"))
     inner = F.regexp_replace(F.regexp_replace(F.col("span.content"), r"\A[ \t]*```mermaid[^\n]*\n", ""), r"\n?[ \t]*```[ \t]*\z", "")
     out = found.select("file_name", "block", F.col("span.start").alias("start"), F.col("span.end").alias("end"), line_of(F.col("text"), F.col("span.start")).alias("line"), inner.alias("content"))
@@ -75,17 +76,26 @@ def _newlines(text: Column) -> Column:
     return F.array_join(F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts")), more)["parts"], "")
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value), with value found once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _apart(line: Column) -> Column:
     """A line with several sources or a chain of edges of one kind as lines of one edge each; array of lines."""
-    edge = F.regexp_extract(line, EDGE, 0)
-    marks = F.size(F.regexp_extract_all(line, F.lit(EDGE), F.lit(0)))
-    same = F.size(F.filter(F.regexp_extract_all(line, F.lit(EDGE), F.lit(0)), lambda e: e != edge)) == 0
-    ends = F.transform(F.split(line, r"\s*" + EDGE + r"\s*", -1), lambda x: F.trim(x))
     sources = lambda x: F.filter(F.transform(F.split(x, "&"), lambda s: F.trim(s)), lambda s: s != "")
-    steps = F.flatten(F.transform(F.sequence(F.lit(1), marks), lambda i: F.transform(sources(F.get(ends, i - 1)), lambda s: F.concat_ws(" ", s, edge, F.get(ends, i)))))
-    several = (marks > 1) & same | (marks == 1) & F.get(ends, F.lit(0)).contains("&")
-    plain = ~F.exists(ends, lambda x: x == "") & ~line.contains(";") & ~line.rlike(r"\"[^\"]*" + EDGE)
-    return F.when(several & plain, steps).otherwise(F.array(line))
+
+    def parted(x: Column) -> Column:
+        edge, marks, ends = F.get(x["edges"], F.lit(0)), F.size(x["edges"]), x["ends"]
+        same = F.size(F.filter(x["edges"], lambda e: e != edge)) == 0
+        steps = F.flatten(F.transform(F.sequence(F.lit(1), marks), lambda i: F.transform(sources(F.get(ends, i - 1)), lambda s: F.concat_ws(" ", s, edge, F.get(ends, i)))))
+        several = (marks > 1) & same | (marks == 1) & F.get(ends, F.lit(0)).contains("&")
+        plain = ~F.exists(ends, lambda e: e == "") & ~line.contains(";") & ~line.rlike(r"\"[^\"]*" + EDGE)
+        return F.when(several & plain, steps).otherwise(F.array(line))
+
+    edges = F.regexp_extract_all(line, F.lit(EDGE), F.lit(0)).alias("edges")
+    ends = F.transform(F.split(line, r"\s*" + EDGE + r"\s*", -1), lambda x: F.trim(x)).alias("ends")
+    return F.when(line.rlike(EDGE), _bound(F.struct(edges, ends), parted)).otherwise(F.array(line))
 
 
 def _closed(text: Column) -> Column:
@@ -102,8 +112,10 @@ def cleaned(content: Column) -> Column:
     label = lambda t, _: F.regexp_replace(t, rf"({EDGE})\s*\[\s*([^\]]+?)\s*\]", "$1|$2|")
     labelled = lambda t: F.aggregate(F.sequence(F.lit(0), F.length(F.regexp_replace(t, r"[^\[]", ""))), t, label)  # noqa: E731 - one may hold another
     apart = lambda t: F.array_join(F.flatten(F.transform(F.split(t, "\n", -1), _apart)), "\n")
-    # a bracket that is closed at the end may make another label or edge
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(4)), out, lambda t, _: _closed(apart(labelled(t))))
+    # a bracket that is closed at the end may make another label or edge; what a step leaves as it is stays so
+    step = lambda t: _bound(_bound(apart(labelled(t)), _closed), lambda new: F.struct(new.alias("text"), (new == t).alias("done")))
+    start = F.struct(out.alias("text"), F.lit(False).alias("done"))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, lambda x, _: F.when(x["done"], x).otherwise(step(x["text"])))["text"]
     out = F.regexp_replace(F.regexp_replace(out, "<{2,}", "<"), ">{2,}", ">")
     out = F.regexp_replace(out, r"\(\s*\[\s*([^\]]*?)\s*\]\s*\)", "([$1])")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", ""))
