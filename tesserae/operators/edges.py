@@ -73,14 +73,36 @@ def resolve_by_priority(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("call_id", "file_path", "callee", F.coalesce("local_id", "global_id").alias("to_id"), F.when(F.col("local_id").isNotNull(), "same_file").when(F.col("global_id").isNotNull(), "global").otherwise("unresolved").alias("scope"))
 
 
+def _blocks(first: Column, last: Column) -> Column:
+    """The fewest blocks (level, at) that make up the lines from first to last: at * 2^level and on, 2^level lines each; two of a level at most."""
+    bit = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    one = lambda level, at: F.array(F.struct(level.alias("level"), at.alias("at")))
+    none = F.array().cast("array<struct<level: int, at: bigint>>")
+
+    def more(x: Column, level: Column) -> Column:
+        left, end, going = x["left"], x["end"], x["left"] < x["end"]
+        found = F.concat(x["found"], F.when(going & bit(left), one(level, left)).otherwise(none), F.when(going & bit(end), one(level, end - 1)).otherwise(none))
+        return F.struct(F.shiftright(left + left.bitwiseAND(F.lit(1)), 1).alias("left"), F.shiftright(end, 1).alias("end"), found.alias("found"))
+
+    start = F.struct(first.alias("left"), (last + 1).alias("end"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(last - first + 1))), start, more)["found"]
+
+
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """points (file, line) to the smallest range (file, symbol_id, first, last) around each; null if there is none.
+    """points (file, line) to the smallest range (file, symbol_id, first, last) around each; null if there is none. Lines are whole numbers.
 
-    The file is the equi key, so it is a hash join with a range condition, not a nested loop.
+    A range is cut into blocks of powers of two, of which each keeps the smallest of its ranges; a line looks at the one block of each
+    level that it is in. So no line meets all ranges of its file, however many there are.
     """
-    hits = points.join(ranges, "file").where("line between first and last")
-    best = hits.groupBy("file", "line").agg(F.min_by("symbol_id", F.struct(F.col("last") - F.col("first"), "symbol_id")).alias("symbol_id"))
-    return points.join(best, ["file", "line"], "left")
+    smallest = F.min(F.struct("size", "symbol_id")).alias("best")
+    whole = ranges.where("file is not null and first <= last").groupBy("file", F.col("first").cast("long"), F.col("last").cast("long")).agg(F.min(F.struct("symbol_id"))["symbol_id"].alias("symbol_id"))
+    cut = whole.select("file", (F.col("last") - F.col("first")).alias("size"), "symbol_id", F.explode(_blocks(F.col("first"), F.col("last"))).alias("x"))
+    held = cut.groupBy("file", "x.level", "x.at").agg(smallest)
+    levels = held.agg(F.collect_set("level").alias("levels"))  # one row
+    asked = points.select("file", "line").where("file is not null and line is not null").distinct().crossJoin(F.broadcast(levels)).select("file", "line", F.explode("levels").alias("level"))
+    hits = asked.withColumn("at", F.expr("shiftright(CAST(line AS BIGINT), level)")).join(held, ["file", "level", "at"])
+    found = hits.groupBy("file", "line").agg(F.min("best")["symbol_id"].alias("symbol_id"))
+    return points.join(found, ["file", "line"], "left")
 
 
 def header_pairs(files: DataFrame) -> DataFrame:
