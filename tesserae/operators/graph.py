@@ -85,29 +85,37 @@ def topological_levels(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     behind a cycle get no level (null).
 
     Rounds over all tasks cut one level after another until no more than `few` edges are left; one task levels those,
-    however deep they go. Nodes are whole numbers there; others, and few = 0, stay with the rounds.
+    however deep they go. Nodes are whole numbers there; others, and few = 0, stay with the rounds. A round reads the edges
+    and tells those that depend on the last level; only nodes, with how many others they wait for, are written again, and
+    edges each time half of them are gone.
     """
     edges = written(edges.select("src", "dst").distinct())
     whole = all(isinstance(f.dataType, (LongType, IntegerType)) for f in edges.schema)
-    left = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("n")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("n")))).alias("x"))
+    waits = written(ends.groupBy("x.node").agg(F.sum("x.n").alias("n")))
     done, level = [], 0
-    while not (whole and edges.count() <= few):
-        free = written(left.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+    held = left = edges.count()
+    while not (whole and left <= few):
+        free = written(waits.where("n = 0").select("node", F.lit(level).alias("level")))
         if free.isEmpty():
             break
         done = _with(done, free)
-        left = written(left.join(free, "node", "left_anti"))
-        edges = written(edges.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        told = edges.join(free.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+        waits = written(waits.where("n > 0").join(told, "node", "left").select("node", (F.col("n") - F.coalesce("d", F.lit(0))).alias("n")))
+        left = waits.agg(F.sum("n")).first()[0] or 0
+        if 2 * left < held:
+            edges, held = written(edges.join(waits.select(F.col("node").alias("dst")), "dst", "left_semi")), left
         level += 1
     else:
         kind = edges.schema["src"].dataType.simpleString()
         ship(edges.sparkSession)
-        deep = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1).mapInArrow(_levels_of_few, "node long, level int")
+        deep = edges.join(waits.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").cast("long"), F.col("dst").cast("long"))
+        deep = deep.coalesce(1).mapInArrow(_levels_of_few, "node long, level int")
         # a node that is left without edges depends on none of those left
-        rest = left.join(deep.select(F.col("node").cast(kind), (F.col("level") + level).alias("level"), F.lit(True).alias("deep")), "node", "left")
+        rest = waits.join(deep.select(F.col("node").cast(kind), (F.col("level") + level).alias("level"), F.lit(True).alias("deep")), "node", "left")
         rest = written(rest.select("node", F.when(F.col("deep"), F.col("level")).otherwise(level).alias("level")))
         return _all([*done, rest])
-    return _all([*done, left.withColumn("level", F.lit(None).cast("int"))])
+    return _all([*done, waits.select("node", F.lit(None).cast("int").alias("level"))])
 
 
 def _trim(edges: DataFrame, few: int = 0) -> DataFrame:
