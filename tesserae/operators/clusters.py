@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import matched, written
 from .edges import MOST_WEIGHT, weighted_pairs
 from .graph import strong_components
 from .modularity import FEW, MOST_NODES, UNIT, communities
@@ -26,7 +26,7 @@ def top_folder(path: str = "path"):
 
 
 def _resolved(edges: DataFrame, files: DataFrame) -> DataFrame:
-    of = lambda c, p: files.select(F.col("component_id").alias(c), F.col("path").alias(p))
+    of = lambda c, p: matched(files.select(F.col("component_id").alias(c), F.col("path").alias(p)), c, edges)
     return edges.join(of("from_id", "src"), "from_id").join(of("to_id", "dst"), "to_id")
 
 

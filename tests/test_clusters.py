@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -183,3 +184,26 @@ def test_single_moves_settle_in_few_rounds(spark):
     rise = modularity._best(both, None, after, 1.0, 1e-9).agg(F.sum(F.col("gain") / F.col("m2"))).first()[0] or 0
     assert 2 * rise < 1e-3
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, modularity._settled(both.repartition(5), None, nodes.repartition(3), 1.0, 1e-9, 0, 1e-3)[0].collect()))
+
+
+def test_file_pairs_of_large_tables_hold_no_table_whole(spark, monkeypatch):
+    from oracle import check, connect
+
+    from tesserae import runtime
+    from tesserae.plans.catalog import ORACLES, QUERIES
+    from tesserae.sources.tables import read
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(runtime, "WHOLE_BYTES", 0, raising=False)
+    monkeypatch.setattr(runtime, "SMALL_BYTES", 0, raising=False)
+    monkeypatch.setattr(runtime, "TASK_BYTES", 10_000, raising=False)
+    plan = QUERIES["file_pairs"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not any("BroadcastHashJoin" in x and ("p_partkey" in x or "_id#" in x) for x in plan.splitlines())
+    assert plan.count("ShuffledHashJoin") == 5
+    lines = read(spark, small, "lineitem")
+    n = runtime.tasks(lines)
+    assert n > 8 and abs(runtime.tasks(lines.union(lines)) - 2 * n) <= 1
+    assert re.search(rf"Exchange hashpartitioning\(l_orderkey#\w+, {n}\)", plan)  # the window's
+    check(spark, connect(small), small, QUERIES["file_pairs"], ORACLES["file_pairs"])
+    rows = spark.createDataFrame([(1, 2)], "from_id long, to_id long")
+    assert runtime.file_bytes(rows) == 0 and runtime.matched(rows, "to_id", rows) is rows and runtime.spread(rows, "to_id") is rows
