@@ -177,37 +177,45 @@ def _strong_of_few(batches):
     yield pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int64())], ["node", "component", "size"])
 
 
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, c): the smallest node that reaches each node of the edges, itself included."""
+    colour = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+    while True:
+        came = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+        new = written(colour.join(came, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
+        colour = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return colour
+
+
 def strong_components(edges: DataFrame, few: int = FEW_ROUNDS) -> DataFrame:
     """(node, component, size) of the strongly connected components of two nodes or more, named by their smallest node.
 
     Up to `few` edges are solved by one task, more in rounds over all tasks until no more than that are left, with the same result.
 
     Forward-backward colouring: after cutting what can lie on no cycle, every node takes the smallest node that reaches
-    it; going back from each such root inside its colour gives one whole component a colour and round.
+    it, then the smallest of its colour that it reaches. Where both are one node, that is its component; others have both in common
+    with their component, so edges between unlike nodes are cut, and the next round has all parts at once.
     """
     found = None
     edges = _trim(written(edges.where("src <> dst").select("src", "dst").distinct()), few)
+    of = lambda colour, at, c: colour.select(F.col("node").alias(at), F.col("c").alias(c))
+    alike = lambda e, colour: e.join(of(colour, "src", "c1"), "src").join(of(colour, "dst", "c2"), "dst").where("c1 = c2")
     while not edges.isEmpty():
         if edges.count() <= few:
             kind = edges.schema["src"].dataType.simpleString()
             ship(edges.sparkSession)
             got = written(edges.coalesce(1).mapInArrow(_strong_of_few, f"node {kind}, component {kind}, size long"))
             return got if found is None else found.unionByName(got)
-        colour = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
-        while True:
-            came = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-            new = written(colour.join(came, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
-            stable = new.where("moved").isEmpty()
-            colour = new.drop("moved")
-            if stable:
-                break
-        inside = written(edges.join(colour.select(F.col("node").alias("src"), F.col("c").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2").select("src", "dst"))
-        back = affected(inside, colour.where("node = c").select("node"))
-        members = written(back.select("node").join(colour, "node").select("node", F.col("c").alias("component")))
+        forth = _least_reaching(edges)
+        inside = written(alike(edges, forth).select("src", "dst"))
+        back = _least_reaching(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        members = forth.join(back.withColumnRenamed("c", "b"), "node").where("c = b").select("node", F.col("c").alias("component"))
         sizes = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
         got = written(members.join(sizes, "component").select("node", "component", "size"))
         found = got if found is None else found.unionByName(got)
-        rest = edges.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        rest = alike(inside, back).select("src", "dst")  # a component lies in one colour of each kind
+        rest = rest.join(got.select(F.col("node").alias("src")), "src", "left_anti")
         edges = _trim(written(rest), few)
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
 
